@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from larkspan.llm import exact_dedup, token_counts
+from larkspan.llm import exact_dedup, packing, token_counts
 
 QUERIES = {
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
 }
