@@ -23,7 +23,6 @@ Columns other than id and text are not read.
 
 from __future__ import annotations
 
-import bisect
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,6 +30,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspan.llm.bestfit import best_fit_decreasing
 from larkspan.ranks import spread_rank
 from larkspan.scratch import materialize
 
@@ -119,62 +119,15 @@ def token_pieces(
     return rows.mapInArrow(run, schema)
 
 
-class Plan:
-    """Rank intervals of each length and where their pieces go.
+def place(pieces: DataFrame, plan: list, size_col: str = "length", ranked: str = "rank") -> DataFrame:
+    """Add sequence_id and offset to rows that have their rank within their size.
 
-    ``lengths``, ``first``: sorted together; an interval begins at rank ``first`` of its length.
-    ``begin``: its first sequence; ``each``: pieces per sequence; ``offset``: of the first in each.
+    plan: the intervals of ``best_fit_decreasing``; the number of sizes bounds them.
     """
-
-    def __init__(self, counts: dict[int, int], capacity: int):
-        if counts and not 0 < min(counts) <= max(counts) <= capacity:
-            raise ValueError("lengths must lie between 1 and the capacity")
-        #: Gaps with room, ascending, and the runs (first sequence, number) that have them.
-        gaps: list[int] = []
-        runs: dict[int, list[tuple[int, int]]] = {}
-        self.sequences = 0
-        out: list[tuple[int, int, int, int, int]] = []
-
-        def give(gap: int, begin: int, n: int) -> None:
-            if gap and n:
-                if gap not in runs:
-                    bisect.insort(gaps, gap)
-                    runs[gap] = []
-                runs[gap].append((begin, n))
-
-        for length in sorted(counts, reverse=True):
-            rank, left = 0, counts[length]
-            while left:
-                at = bisect.bisect_left(gaps, length)
-                if at == len(gaps):
-                    new = -(-left // (capacity // length))
-                    give(capacity, self.sequences, new)
-                    self.sequences += new
-                    continue
-                gap = gaps[at]
-                begin, n = runs[gap].pop()
-                if not runs[gap]:
-                    del runs[gap]
-                    gaps.pop(at)
-                each = gap // length
-                full, rest = divmod(min(left, n * each), each)
-                out.append((length, rank, begin, each, capacity - gap))
-                give(gap - each * length, begin, full)
-                if rest:
-                    give(gap - rest * length, begin + full, 1)
-                give(gap, begin + full + bool(rest), n - full - bool(rest))
-                rank += full * each + rest
-                left -= full * each + rest
-        out.sort()
-        self.length, self.first, self.begin, self.each, self.offset = (list(c) for c in zip(*out, strict=True)) if out else ([],) * 5
-
-
-def place(pieces: DataFrame, plan: Plan, ranked: str = "rank") -> DataFrame:
-    """Add sequence_id and offset to pieces that have their rank within their length."""
     import numpy as np
 
-    span = 1 << 48
-    arrays = [np.array(x, np.int64) for x in (plan.length, plan.first, plan.begin, plan.each, plan.offset)]
+    span = 1 << 44  # ranks stay below it, and the number of sizes below 2^19
+    arrays = list(np.array(plan, np.int64).reshape(-1, 5).T)
     shared = pieces.sparkSession.sparkContext.broadcast(arrays)
     names = [*pieces.columns, "sequence_id", "offset"]
 
@@ -183,11 +136,12 @@ def place(pieces: DataFrame, plan: Plan, ranked: str = "rank") -> DataFrame:
         import pyarrow as pa
 
         length, first, begin, each, offset = shared.value
-        keys = length * span + first
+        sizes = np.unique(length)
+        keys = np.searchsorted(sizes, length) * span + first
         for batch in batches:
-            size = batch.column(batch.schema.get_field_index("length")).to_numpy()
+            size = batch.column(batch.schema.get_field_index(size_col)).to_numpy()
             rank = batch.column(batch.schema.get_field_index(ranked)).to_numpy()
-            k = np.searchsorted(keys, size * span + rank, side="right") - 1
+            k = np.searchsorted(keys, np.searchsorted(sizes, size) * span + rank, side="right") - 1
             i = rank - first[k]
             yield pa.record_batch(
                 [*batch.columns, pa.array(begin[k] + i // each[k]), pa.array(offset[k] + i % each[k] * size)], names
@@ -201,7 +155,7 @@ def best_fit_packing(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """Add sequence_id (from 0) and offset to the table of ``token_pieces``."""
     kept = materialize(pieces, "pieces")
     counts = {r["length"]: r["n"] for r in kept.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = Plan(counts, capacity)
+    plan, _ = best_fit_decreasing(counts, capacity)
     keyed = kept.withColumn("key", F.struct("id", "piece", "ids_crc32"))
     ranked = spread_rank(keyed, "length", "key", "rank", bounded_groups=True).drop("key")
     return place(ranked, plan).drop("rank")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from larkspan.llm import exact_dedup, packing, token_counts
+from larkspan.llm import exact_dedup, mixing, packing, sharding, token_counts
 
 QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op6_best_fit_shards": sharding.op6_best_fit_shards,
+    "op8_mix_sources": mixing.op8_mix_sources,
     "op9_token_counts": token_counts.op9_token_counts,
 }
 
