@@ -19,12 +19,14 @@ def spread_rank(
     out: str,
     amount: str | None = None,
     bounded_groups: bool = False,
+    order: list[str] | None = None,
 ) -> DataFrame:
     """Add ``out``: the 0-based position of a row in its group, or with ``amount`` the sum of
     ``amount`` over the rows before it.
 
     key: a column (no nulls expected; nulls sort first) that tells a group's rows apart; rows equal
     in group and key get different positions in an arbitrary order among themselves.
+    order: columns that order the rows of a bucket, ``key`` alone by default.
     bounded_groups: the caller vouches that the number of groups is bounded, so the group sizes may
     be broadcast; otherwise they are joined by shuffle.
     """
@@ -47,7 +49,7 @@ def spread_rank(
     totals = totals.select(
         "__g", "__h", F.coalesce(F.sum("__n").over(before), F.lit(0)).cast("long").alias("__base")
     )
-    inside = Window.partitionBy(group, "__b").orderBy(key)
+    inside = Window.partitionBy(group, "__b").orderBy(*(order or [key]))
     if amount:
         local = F.coalesce(
             F.sum(step).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
