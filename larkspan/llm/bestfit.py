@@ -77,10 +77,11 @@ class RoomTree:
                 node = node.right
         if best is None:
             return None
+        room = best.key  # the node may hold another key after a removal
         first, n = best.runs.pop()
         if not best.runs:
-            self.root = self._drop(self.root, best.key)
-        return best.key, first, n
+            self.root = self._drop(self.root, room)
+        return room, first, n
 
     def _drop(self, node: _Node, key: int) -> _Node | None:
         if key < node.key:
