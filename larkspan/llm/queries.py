@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspan.llm import exact_dedup, mixing, packing, sharding, token_counts
+from larkspan.llm import exact_dedup, mixing, near_dedup, packing, sharding, token_counts
 
 QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_best_fit_shards": sharding.op6_best_fit_shards,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_near_duplicates": near_dedup.op10_near_duplicates,
 }
 
 ORACLE_SQL = {
