@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from larkspan.llm import exact_dedup, mixing, near_dedup, packing, sharding, token_counts
+from larkspan.llm import exact_dedup, mixing, near_dedup, packing, quality, sharding, token_counts
 
 QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_quality_rules": quality.op5_quality_rules,
     "op6_best_fit_shards": sharding.op6_best_fit_shards,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_token_counts": token_counts.op9_token_counts,
@@ -15,4 +16,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op5_quality_rules": quality.OP5_SQL,
 }
