@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from larkspan.llm import exact_dedup, mixing, near_dedup, packing, quality, sharding, token_counts
+from larkspan.llm import exact_dedup, mixing, near_dedup, packing, pii, quality, sharding, token_counts
 
 QUERIES = {
+    "op2_personal_data": pii.op2_personal_data,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_quality_rules": quality.op5_quality_rules,
