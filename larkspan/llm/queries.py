@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspan.llm import exact_dedup, mixing, near_dedup, packing, pii, quality, sharding, token_counts
+from larkspan.llm import exact_dedup, mixing, near_dedup, packing, pii, quality, sharding, token_counts, toxicity
 
 QUERIES = {
     "op2_personal_data": pii.op2_personal_data,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_best_fit_shards": sharding.op6_best_fit_shards,
+    "op7_toxic_segments": toxicity.op7_toxic_segments,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_near_duplicates": near_dedup.op10_near_duplicates,
