@@ -24,3 +24,30 @@ def words(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """The number of words, as long."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[^\\x20\\x09-\\x0D]+")).cast("long")
+
+
+#: Bits of a bitmap filter; it never exceeds FILTER_BITS / 8 bytes.
+FILTER_BITS = 1 << 24
+#: Bits in one row of bitmap_construct_agg.
+_PART = 32768
+
+
+def bitmap(keys: DataFrame, bits: int = FILTER_BITS) -> Column:
+    """A bitmap of ``keys.key`` (long) as an array of parts: a scalar subquery, computed once."""
+    slot = F.pmod(F.xxhash64("key"), F.lit(bits))
+    parts = keys.groupBy(F.floor(slot / _PART).cast("int").alias("b")).agg(
+        F.bitmap_construct_agg(F.pmod(slot, F.lit(_PART))).alias("m")
+    )
+    found = parts.agg(F.map_from_entries(F.collect_list(F.struct("b", "m"))).alias("found"))
+    return found.select(
+        F.transform(F.sequence(F.lit(0), F.lit(bits // _PART - 1)), lambda i: F.col("found")[i])
+    ).scalar()
+
+
+def maybe(key: Column, members: Column, bits: int = FILTER_BITS) -> Column:
+    """Whether a key (long) may be in a bitmap: no member is missed, few others pass."""
+    slot = F.pmod(F.xxhash64(key), F.lit(bits))
+    part = F.get(members, F.floor(slot / _PART).cast("int"))
+    at = F.pmod(slot, F.lit(_PART))
+    byte = F.conv(F.hex(F.substring(part, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.call_function("shiftright", byte, F.pmod(at, F.lit(8)).cast("int")).bitwiseAND(1) == 1, F.lit(False))

@@ -210,13 +210,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = drawn.groupBy("row", "pass").agg(
         F.sum("n").alias("taken"), F.sort_array(F.collect_list(F.struct("from", "n"))).alias("spans")
     )
-    spans = spans.join(rows.select("row", "size"), "row")
-    out = kept.join(spans, F.col("__row") == F.col("row"))
+    spans = spans.join(rows.select("row", "size"), "row").select(
+        F.col("row").alias("__own"), F.col("taken").alias("__taken"), F.col("spans").alias("__spans"), F.col("size").alias("__size")
+    )
+    out = kept.join(spans, F.col("__row") == F.col("__own"))
     own = words(F.col(text_col))
     cut = F.array_join(
-        F.flatten(F.transform("spans", lambda s: F.slice(F.col("__words"), (s["from"] + 1).cast("int"), s["n"].cast("int")))), " "
+        F.flatten(F.transform("__spans", lambda s: F.slice(F.col("__words"), (s["from"] + 1).cast("int"), s["n"].cast("int")))), " "
     )
-    whole = F.col("taken") == F.col("size")
+    whole = F.col("__taken") == F.col("__size")
     out = out.withColumn("__words", F.when(~whole, own)).withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))

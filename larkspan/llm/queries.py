@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from larkspan.llm import exact_dedup, mixing, near_dedup, packing, pii, quality, sharding, token_counts, toxicity
+from larkspan.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality, sharding, token_counts, toxicity
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_personal_data": pii.op2_personal_data,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_line_dedup": line_dedup.OP1_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op5_quality_rules": quality.OP5_SQL,
 }
