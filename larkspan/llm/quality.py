@@ -71,50 +71,55 @@ def _repeated(w: Column, n: Column) -> Column:
     return F.get(F.transform(found, covered), F.lit(0))
 
 
-def measured(docs: DataFrame, text_col: str = "text", windows: bool = True) -> DataFrame:
-    """Add a struct column ``q`` of counts and rule failures. Without ``windows`` the repeated-window
-    count, the costly one, is left null and base_failed with it."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    if not windows:
-        out = docs.withColumn("__w", words(text)).withColumn("__n", F.size("__w"))
-        repeat = F.lit(None).cast("long")
-    else:
-        out = docs.withColumn("__w", words(text)).withColumn("__n", F.size("__w"))
-        w, n = F.col("__w"), F.col("__n")
-        out = out.withColumn(
-            "__h",
-            F.when(n > WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))),
-        )
-        twice = F.size(F.array_distinct("__h")) < F.size("__h")
-        repeat = F.when(twice, _repeated(w, n)).otherwise(F.lit(0).cast("long"))
-    w, n = F.col("__w"), F.col("__n")
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it and wherever the optimizer
+    moves the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def judged(text: Column, windows: bool = True) -> Column:
+    """A struct of counts and rule failures of a text. Without ``windows`` the repeated-window count, the costly one, is
+    left null and base_failed with it."""
+    text = F.coalesce(text, F.lit(""))
+
+    def of_words(w: Column) -> Column:
+        n = F.size(w)
+        stutter = F.size(F.filter(w, lambda x, i: (i > 0) & F.get(w, i - 1).eqNullSafe(x)))
+        if windows:
+            hashes = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
+            twice = _let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
+            repeat = F.when((n > WINDOW) & twice, _repeated(w, n)).otherwise(F.lit(0).cast("long"))
+        else:
+            repeat = F.lit(None).cast("long")
+        return F.struct(n.cast("long").alias("n"), stutter.cast("long").alias("stutter"), repeat.alias("repeat"))
+
+    def of_lines(x: Column) -> Column:
+        return F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))
+
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x, F.lit(SPACE)) != "")
-    out = out.withColumn("__lines", lines)
-    stutter = F.size(F.filter(w, lambda x, i: (i > 0) & F.get(w, i - 1).eqNullSafe(x)))
-    q = F.struct(
-        n.cast("long").alias("n_words"),
-        (F.length(text) - _times(text, SPACE)).cast("long").alias("word_chars"),
-        _times(text, SYMBOLS).alias("n_symbols"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        repeat.alias("n_repeat_words"),
-        F.regexp_count(text, F.lit("[A-Z]")).cast("long").alias("n_capitals"),
-        _times(text, "!").alias("n_calls"),
-        stutter.cast("long").alias("n_stutter"),
-    )
-    out = out.withColumn("q", q).drop("__w", "__n", "__h", "__lines")
-    c = lambda name: F.col(f"q.{name}")
-    hard = (
-        (c("n_symbols") * 100 > c("word_chars") * 5) | (c("n_capitals") * 2 > c("word_chars")) | (c("n_calls") * 10 > c("n_words") * 3)
-        | (c("n_dup_lines") * 2 > c("n_lines")) | (c("n_stutter") * 10 > c("n_words") * 3)
+    counted = F.struct(
+        _let(words(text), of_words).alias("w"), _let(lines, of_lines).alias("l"),
+        (F.length(text) - _times(text, SPACE)).cast("long").alias("word_chars"), _times(text, SYMBOLS).alias("n_symbols"),
+        F.regexp_count(text, F.lit("[A-Z]")).cast("long").alias("n_capitals"), _times(text, "!").alias("n_calls"),
     )
-    soft = (
-        (c("n_symbols") * 50 > c("word_chars")) | (c("n_capitals") * 4 > c("word_chars")) | (c("n_calls") * 10 > c("n_words"))
-        | (c("n_dup_lines") * 10 > c("n_lines") * 3) | (c("n_stutter") * 10 > c("n_words"))
-        | (c("word_chars") < c("n_words") * 2) | (c("word_chars") > c("n_words") * 12)
-    )
-    base = (c("n_words") < 10) | (c("n_repeat_words") * 100 > c("n_words") * 20)
-    return out.withColumn("q", F.col("q").withField("base_failed", base).withField("hard_failed", hard).withField("soft_failed", soft))
+
+    def ruled(c: Column) -> Column:
+        n, chars, symbols, capitals, calls = c["w"]["n"], c["word_chars"], c["n_symbols"], c["n_capitals"], c["n_calls"]
+        hard = (
+            (symbols * 100 > chars * 5) | (capitals * 2 > chars) | (calls * 10 > n * 3)
+            | (c["l"]["dup"] * 2 > c["l"]["n"]) | (c["w"]["stutter"] * 10 > n * 3)
+        )
+        soft = (
+            (symbols * 50 > chars) | (capitals * 4 > chars) | (calls * 10 > n) | (c["l"]["dup"] * 10 > c["l"]["n"] * 3)
+            | (c["w"]["stutter"] * 10 > n) | (chars < n * 2) | (chars > n * 12)
+        )
+        base = (n < 10) | (c["w"]["repeat"] * 100 > n * 20)
+        return F.struct(
+            n.alias("n_words"), chars.alias("word_chars"), symbols.alias("n_symbols"), c["l"]["dup"].alias("n_dup_lines"),
+            c["w"]["repeat"].alias("n_repeat_words"), base.alias("base_failed"), hard.alias("hard_failed"), soft.alias("soft_failed"),
+        )
+
+    return _let(counted, ruled)
 
 
 def host_verdicts(judged: DataFrame, source_col: str = "source") -> DataFrame:
@@ -154,8 +159,8 @@ def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: (id, source, q, host_rejected, kept); q holds the counts and failures."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    rows = materialize(measured(rows).select("id", "source", "q"), "measured")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), judged(F.col(text_col)).alias("q"))
+    rows = materialize(rows, "judged")
     hosts = host_verdicts(rows.select("source", F.col("q.soft_failed").alias("soft_failed")))
     out = with_verdict(rows, hosts)
     return out.withColumn("kept", _kept(F.col("q"))).withColumnRenamed("id", id_col)
@@ -163,13 +168,10 @@ def quality_rules(
 
 def passing(docs: DataFrame, source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
-    rows = docs.select(F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    soft = measured(rows, windows=False).select("source", F.col("q.soft_failed").alias("soft_failed"))
-    hosts = host_verdicts(soft)
-    columns = docs.columns
-    out = with_verdict(docs.select(F.struct("*").alias("__doc"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), hosts)
-    out = measured(out).where(_kept(F.col("q"))).select("__doc.*")
-    return out.select(*columns)
+    soft = _let(judged(F.col(text_col), windows=False), lambda q: q["soft_failed"])
+    hosts = host_verdicts(docs.select(F.col(source_col).alias("source"), soft.alias("soft_failed")))
+    rows = with_verdict(docs.select(F.struct("*").alias("doc"), F.col(source_col).alias("host")), hosts, "host")
+    return rows.where(_let(judged(F.col(f"doc.{text_col}")), _kept)).select("doc.*")
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
