@@ -23,10 +23,12 @@ Columns other than id and text are not read.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,35 +37,68 @@ from larkspan.ranks import spread_rank
 from larkspan.scratch import materialize
 
 #: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 class WordIds:
     """Token ids of whole texts by a tokenizer whose pre-tokenizer drops white space.
 
-    No token reaches over white space, so words are encoded once each and remembered as packed ids.
+    No token reaches over white space, so words are encoded once each and remembered as packed ids. New plain
+    words (letters, perhaps a full stop or comma behind) are encoded together as one line: the pre-tokenizer
+    makes one unit of each, in lower case, whose last token carries the end-of-word mark.
     """
 
+    PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-
-    def packed(self, text: str, end_id: int) -> bytes:
-        """Little-endian unsigned 32-bit ids of the text, then the end id."""
-        for c in "\n\t\r\x0b\x0c":
-            if c in text:
-                text = text.replace(c, " ")
-        words = text.split(" ")
-        known = self.known
-        if missing := [w for w in set(words) if w not in known]:
-            if len(known) + len(missing) > REMEMBERED:
-                known.clear()
-                missing = list(set(words))
-            for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return b"".join([*map(known.__getitem__, words), struct.pack("<I", end_id)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.mark = {"": b"", ".": self.encode(["."])[0], ",": self.encode([","])[0]}
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
+
+    def learn(self, words: set[str]) -> None:
+        known, plain, other = self.known, [], []
+        for w in words:
+            if m := self.PLAIN.fullmatch(w):
+                plain.append((w, m[1].lower(), m[2]))
+            else:
+                other.append(w)
+        cores = list({c for _, c, _ in plain})
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(ends) == len(cores):
+            packed = ids.tobytes()
+            of = {c: packed[begin:end] for c, begin, end in zip(cores, [0, *ends], ends, strict=False)}
+            for w, core, mark in plain:
+                known[w] = of[core] + self.mark[mark]
+        else:
+            other += [w for w, _, _ in plain]
+        known.update(zip(other, self.encode(other), strict=True))
+
+    def packed(self, texts: list[str], end_id: int) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, then the end id."""
+        words = []
+        for text in texts:
+            for c in "\n\t\r\x0b\x0c":
+                if c in text:
+                    text = text.replace(c, " ")
+            words.append(text.split(" "))
+        every = set().union(*words)
+        missing = {w for w in every if w not in self.known}
+        if len(self.known) + len(missing) > REMEMBERED:
+            self.known.clear()
+            missing = every
+        self.learn(missing)
+        known, end = self.known.__getitem__, struct.pack("<I", end_id)
+        return [b"".join([*map(known, x), end]) for x in words]
 
 
 _encoders: dict[str, WordIds] = {}
@@ -104,8 +139,10 @@ def token_pieces(
         for batch in batches:
             rows: list[tuple] = []
             take = []
-            for at, text in enumerate(batch.column(1)):
-                packed = own.packed(text.as_py(), end_id)
+            texts = batch.column(1).to_pylist()
+            step = 64  # texts looked at together
+            whole = (p for low in range(0, len(texts), step) for p in own.packed(texts[low : low + step], end_id))
+            for at, packed in enumerate(whole):
                 for n, begin in enumerate(range(0, len(packed), width)):
                     ids = packed[begin : begin + width]
                     rows.append((n, begin // 4, len(ids) // 4, zlib.crc32(ids), *[ids] * with_ids))
@@ -124,15 +161,12 @@ def place(pieces: DataFrame, plan: list, size_col: str = "length", ranked: str =
 
     plan: the intervals of ``best_fit_decreasing``; the number of sizes bounds them.
     """
-    import numpy as np
-
     span = 1 << 44  # ranks stay below it, and the number of sizes below 2^19
     arrays = list(np.array(plan, np.int64).reshape(-1, 5).T)
     shared = pieces.sparkSession.sparkContext.broadcast(arrays)
     names = [*pieces.columns, "sequence_id", "offset"]
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
         length, first, begin, each, offset = shared.value
