@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from larkspan.plans import text
+from larkspan.plans import events, text
 
-QUERIES: dict = {**text.QUERIES}
-ORACLE_SQL: dict = {**text.ORACLE_SQL}
+_PLANS = (text, events)
+QUERIES: dict = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
+ORACLE_SQL: dict = {k: v for p in _PLANS for k, v in p.ORACLE_SQL.items()}
