@@ -8,7 +8,7 @@ added or left out, and at least MIN_WORDS words in the longer one. The earliest
 2. *Necessary halves.* Two lines one word apart share their first or their last half. Half keys are counted; lines
    whose halves occur nowhere else emit nothing.
 3. *Deletion neighbourhood.* Each remaining line emits the hash of every variant with one word left out (of the
-   sides that are shared), and of itself. The hash is a sum over words, so a variant costs one subtraction.
+   sides that are shared), and of itself. The hash is a sum over words and places, so running sums give all variants at once.
    Keys that occur once are dropped by a fixed-size bitmap before variants are shuffled with their places.
 4. *Join.* Variants meet on their key. Within a key no pairs are made: variants that left out the same
    place are all one replacement apart, so each meets the earliest of them; a line meets its own variants'
@@ -29,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspan.functions.columns import let
 from larkspan.llm.common import SPACE, bitmap, maybe, words
 from larkspan.scratch import materialize
 
@@ -36,16 +37,55 @@ MIN_WORDS = 5
 _MASK = (1 << 60) - 1
 
 
-def _hashed(w: Column) -> Column:
-    return F.xxhash64(w).bitwiseAND(_MASK)
+def _add(x: Column, y: Column) -> Column:
+    return (x + y).bitwiseAND(_MASK)
 
 
-def _sum(hashes: Column) -> Column:
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: (a + h).bitwiseAND(_MASK))
+def _before(numbers: Column) -> Column:
+    """For every place, the sum (modulo 2^60) of the numbers before it. Chunks of about sqrt(n) keep the copying that a
+    growing array costs below n sqrt(n)."""
 
+    def running(x: Column) -> Column:
+        return F.aggregate(x, F.array(F.lit(0).cast("long")), lambda a, v: F.concat(a, F.array(_add(F.element_at(a, -1), v))))
 
-def _rest_key(total: Column, left_out: Column, n: Column) -> Column:
-    return F.xxhash64((total - left_out).bitwiseAND(_MASK), n)
+    def joined(x: Column) -> Column:
+        n = F.size(x)
+        width = F.greatest(F.ceil(F.sqrt(n.cast("double"))).cast("int"), F.lit(1))
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(n / width).cast("int") - 1), lambda k: running(F.slice(x, k * width + 1, width)))
+
+        def placed(p: Column) -> Column:
+            bases = running(F.transform(p, lambda own: F.element_at(own, -1)))
+            inner = F.zip_with(
+                F.slice(bases, F.lit(1), F.size(p)), p, lambda base, own: F.transform(F.slice(own, F.lit(1), F.size(own) - 1), lambda v: _add(base, v))
+            )
+            return F.flatten(inner)
+
+        return let(parts, placed)
+
+    return let(numbers, joined)
+
+
+def _variants(w: Column) -> Column:
+    """(itself, one): the hash of a line (two words at least), and for every word the hash of the line without it.
+
+    A line's hash is the sum over its words of a hash of word and place; behind the word left out, places move up by one.
+    """
+    def made(x: Column) -> Column:
+        def of(z: Column) -> Column:
+            total = lambda name: F.aggregate(z, F.lit(0).cast("long"), lambda a, v: _add(a, v[name]))
+            sums = F.struct(total("here").alias("here"), total("moved").alias("moved"))
+            return let(sums, lambda t: F.struct(
+                t["here"].alias("itself"),
+                F.transform(z, lambda v: _add(v["front"], t["moved"] - _add(v["back"], v["moved"]))).alias("one"),
+            ))
+
+        return let(F.arrays_zip(
+            x["here"].alias("here"), x["moved"].alias("moved"), _before(x["here"]).alias("front"), _before(x["moved"]).alias("back")
+        ), of)
+
+    here = F.transform(w, lambda v, i: F.xxhash64(v, i).bitwiseAND(_MASK))
+    moved = F.transform(w, lambda v, i: F.xxhash64(v, i - 1).bitwiseAND(_MASK))
+    return let(F.struct(here.alias("here"), moved.alias("moved")), made)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -104,14 +144,14 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = materialize(near.dropDuplicates(["digest"]), "near")
 
     # A word outside a shared half may be the one that differs.
-    hashes = near.withColumn("h", F.transform(F.split("norm", " "), _hashed)).withColumn("s", _sum(F.col("h")))
+    hashes = near.withColumn("v", _variants(F.split("norm", " ")))
     low = F.floor((F.col("n") - 1) / 2)
     variants = hashes.where(F.col("n") >= MIN_WORDS).select(
-        "digest", "id", "line", "doc", "n", "front", "back", "s", F.posexplode("h").alias("p", "w")
+        "digest", "id", "line", "doc", "n", "front", "back", F.posexplode("v.one").alias("p", "h")
     )
     variants = variants.where((F.col("front") & (F.col("p") >= low)) | (F.col("back") & (F.col("p") < F.col("n") - low)))
-    variants = variants.select("digest", "id", "line", "doc", _rest_key(F.col("s"), F.col("w"), F.col("n") - 1).alias("key"), "p")
-    itself = hashes.select("digest", "id", "line", "doc", _rest_key(F.col("s"), F.lit(0).cast("long"), F.col("n")).alias("key"), F.lit(-1).alias("p"))
+    variants = variants.select("digest", "id", "line", "doc", F.xxhash64("h", F.col("n") - 1).alias("key"), "p")
+    itself = hashes.select("digest", "id", "line", "doc", F.xxhash64("v.itself", "n").alias("key"), F.lit(-1).alias("p"))
     every = variants.unionByName(itself)
     twice = every.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
     met = every.where(maybe(F.col("key"), bitmap(twice)))
