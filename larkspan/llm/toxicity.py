@@ -1,9 +1,9 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 1. *Log-odds with Dirichlet priors.* On labelled rows, words and word beginnings (PREFIXES characters) are
-   counted once per document. With the background counts as an informative Dirichlet prior, each feature has a log-odds
+   counted once per document. With a Dirichlet prior in the proportion of the classes, each feature has a log-odds
    ratio between toxic and clean documents and a variance; features whose lower bound (two standard errors)
-   is positive form the lexicon. A token scores its feature with the highest lower bound, any other token
+   exceeds a margin form the lexicon. A token scores its feature with the highest lower bound, any other token
    scores -DRIFT.
 2. *Maximum-scoring segments.* One linear pass over the tokens (Ruzzo and Tompa's stack) finds every maximal
    segment, all passages that stand out and not just the best one.
@@ -34,8 +34,13 @@ from pyspark.sql import functions as F
 LABELLED = 20_000
 LEXICON = 50_000
 PREFIXES = range(3, 9)
-DRIFT = 0.08
-PRIOR = 200.0
+DRIFT = 0.03
+#: Pseudo-documents of the prior; a feature needs LEAST_DOCUMENTS toxic documents and a lower bound, ERRORS standard
+#: errors below its log-odds ratio, above MARGIN.
+PRIOR = 1.0
+LEAST_DOCUMENTS = 4
+ERRORS = 2.0
+MARGIN = 1.5
 REMEMBERED = 300_000
 #: A segment counts if its surprise exceeds this.
 SIGNIFICANT = 0.0
@@ -150,18 +155,20 @@ def _counts(rows: DataFrame) -> DataFrame:
 
 
 def lexicon_of(rows: DataFrame) -> dict[str, tuple[float, float]]:
-    """feature to (lower bound, log-odds ratio), the LEXICON highest lower bounds at most."""
-    counts = _counts(rows)
-    n1, n0 = counts.agg(F.coalesce(F.sum("y1"), F.lit(0)), F.coalesce(F.sum("y0"), F.lit(0))).first()
-    if not n1 or not n0:
+    """feature to (lower bound, log-odds ratio), the LEXICON highest lower bounds at most; exact copies count once.
+
+    The Dirichlet prior gives every feature PRIOR pseudo-documents, shared between the classes as all documents are.
+    """
+    rows = rows.dropDuplicates(["text"])
+    n1, n = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
+    if not 0 < n1 < n:
         return {}
-    prior = F.lit(PRIOR) * (F.col("y1") + F.col("y0")) / (n1 + n0) + 0.01
-    odds = lambda y, n: F.log((y + prior) / (F.lit(n + PRIOR) - y - prior))
-    ratio = odds(F.col("y1"), n1) - odds(F.col("y0"), n0)
-    error = F.sqrt(1 / (F.col("y1") + prior) + 1 / (F.col("y0") + prior))
-    low = ratio - 2 * F.least(error, F.lit(2.0) / F.sqrt(F.col("y1").cast("double")))
-    best = counts.where("y1 >= 3").select("feature", low.alias("low"), ratio.alias("ratio")).where("low > 0")
-    found = best.orderBy(F.col("low").desc(), "feature").limit(LEXICON).collect()
+    share = n1 / n
+    y1, y0 = F.col("y1") + PRIOR * share, F.col("y0") + PRIOR * (1 - share)
+    ratio = F.log(y1 / y0) - F.log(F.lit(share / (1 - share)))
+    low = ratio - ERRORS * F.sqrt(1 / y1 + 1 / y0)
+    best = _counts(rows).where(F.col("y1") >= LEAST_DOCUMENTS).select("feature", low.alias("low"), ratio.alias("ratio"))
+    found = best.where(F.col("low") > MARGIN).orderBy(F.col("low").desc(), "feature").limit(LEXICON).collect()
     return {r["feature"]: (r["low"], r["ratio"]) for r in found}
 
 
@@ -171,7 +178,7 @@ def _logistic(x, y, steps: int = 50):
 
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
-    ridge = np.diag([1e-3] * x.shape[1])
+    ridge = np.diag([1e-3] + [0.1] * (x.shape[1] - 1))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + ridge, x.T @ (y - p) - ridge @ w)
