@@ -10,6 +10,7 @@ from larkspan.functions.columns import descriptor_in_range, pack_descriptor, par
 from larkspan.operators import geometry as G
 from larkspan.operators import greedy, matching
 from larkspan.plans.text import load
+from larkspan.scratch import materialize
 
 
 def landmarks(spark, sf):
@@ -115,8 +116,8 @@ def _heard(spark, sf):
 
 
 def _stage_union(spark, sf):
-    points = _heard(spark, sf)
-    faces = G.empty_faces(G.triples(points), points)
+    points = materialize(_heard(spark, sf), "points")
+    faces = materialize(G.empty_faces(G.triples(points), points), "faces")  # used once per stage
     return _probed(faces, 1), _probed(faces, 1).unionByName(_probed(G.two_hop(faces, points), 1)).distinct()
 
 

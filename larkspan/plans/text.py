@@ -10,6 +10,10 @@ from larkspan.functions.columns import exact, places5
 from larkspan.operators import index, matching
 
 
+#: Seconds of a frame; a token counts as one.
+FRAME = 0.032
+
+
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -99,14 +103,16 @@ def adaptive_stage2(spark, sf):
 
 
 def _truth(spark, sf) -> DataFrame:
-    """The smallest document that holds a benchmark text verbatim."""
+    """The smallest document that holds a benchmark text verbatim, and the token at which it does."""
     docs, items = load(spark, sf, "documents"), load(spark, sf, "benchmark")
     # A stated query set against all documents: items are matched on their first shingle, then verbatim.
     first = index.token_shingles(items, "item_id", "text", "item_id").where("offset = 0").select("item_id", "hash").join(items, "item_id")
     held = index.token_shingles(docs, "doc_id", "text", "doc_id").join(F.broadcast(first.select("hash").distinct()), "hash", "left_semi")
     pairs = held.select("doc_id", "hash").distinct().join(first.withColumnRenamed("text", "passage"), "hash")
     found = pairs.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage")))
-    return found.groupBy("item_id").agg(F.min("doc_id").alias("reference_id"))
+    before = F.expr("left(text, instr(text, passage) - 1)")
+    place = F.size(F.split(F.lower(before), r"\s+")) - 1
+    return found.groupBy("item_id").agg(F.min("doc_id").alias("reference_id"), F.min_by(place, "doc_id").alias("place"))
 
 
 def result_rows(spark, sf):
@@ -116,7 +122,7 @@ def result_rows(spark, sf):
     out = items.join(_truth(spark, sf), "item_id", "left").join(best, "item_id", "left")
     status = F.when(F.col("predicted_id").isNull(), "no_match").otherwise("matched")
     right = F.coalesce(F.col("predicted_id") == F.col("reference_id"), F.lit(False))
-    error = F.when(right, F.abs(F.col("delta") % 7).cast("double") / 10)
+    error = F.when(right, F.abs(F.col("delta") - F.col("place")) * F.lit(FRAME))
     return out.select("item_id", "reference_id", "predicted_id", status.alias("status"), right.alias("correct"), error.alias("offset_error"))
 
 
@@ -220,9 +226,9 @@ best AS (SELECT * FROM sm QUALIFY row_number() OVER (PARTITION BY item_id, doc_i
 rk AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY w DESC, n DESC, doc_id))::INT AS rank, doc_id, n,
        w::DECIMAL(20,5)::DOUBLE AS score, delta FROM best),
 conf AS (SELECT item_id, max(n) FILTER (rank = 1) AS hits, max(score) FILTER (rank = 1) AS f, coalesce(max(score) FILTER (rank = 2), 0) AS s FROM rk WHERE rank <= 2 GROUP BY 1),
-truth AS (SELECT item_id, min(doc_id) AS reference_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) AND len(string_split_regex(b.text, '\\s+')) >= 3 GROUP BY 1),
+truth AS (SELECT item_id, min(doc_id) AS reference_id, arg_min(len(string_split_regex(lower(left(d.text, instr(d.text, b.text) - 1)), '\\s+')) - 1, doc_id) AS place FROM benchmark b JOIN documents d ON contains(d.text, b.text) AND len(string_split_regex(b.text, '\\s+')) >= 3 GROUP BY 1),
 res AS (SELECT b.item_id, reference_id, doc_id AS predicted_id, CASE WHEN doc_id IS NULL THEN 'no_match' ELSE 'matched' END AS status,
-        coalesce(doc_id = reference_id, false) AS correct, CASE WHEN doc_id = reference_id THEN abs(delta % 7)::DOUBLE / 10 END AS offset_error
+        coalesce(doc_id = reference_id, false) AS correct, CASE WHEN doc_id = reference_id THEN abs(delta - place) * 0.032::DOUBLE END AS offset_error
         FROM benchmark b LEFT JOIN truth USING (item_id) LEFT JOIN (SELECT * FROM rk WHERE rank = 1) r USING (item_id)),
 clus AS (SELECT substr(b.text, 1, 1) AS cluster, sum(correct::INT - (coalesce(k, 0) >= 3)::INT)::BIGINT AS total, count(*) AS n
          FROM res JOIN benchmark b USING (item_id) LEFT JOIN (SELECT item_id, max(rank) AS k FROM rk WHERE rank <= 5 GROUP BY 1) USING (item_id) GROUP BY 1)
