@@ -155,7 +155,7 @@ def _external(spark, sf):
     return e.select("event_id", "user_id", "event_type", score.alias("score"), F.get_json_object("props", "$.k").cast("double").alias("seconds"))
 
 
-def panako_rank(spark, sf):
+def external_rank(spark, sf):
     """Best row per query and reference, then ranks: larger (score, seconds, id) first, what is not finite last."""
     e = _external(spark, sf).withColumn("score", finite(F.col("score"))).withColumn("seconds", finite(F.col("seconds")))
     key = F.struct("score", "seconds", "event_id")
@@ -201,7 +201,7 @@ ms AS (SELECT DISTINCT source || '/' || lang AS track FROM documents WHERE sourc
 
 QUERIES = {f.__name__: f for f in (
     exact_scale_filter, annotation_id, segments_by_query, manifest_violations, referential_gaps, manifest_union, resume_anti_join, id_set_diff, result_id_check,
-    index_missing_refs, index_append, index_merge, numeric_id_map, window_lookup, reference_seconds, matrix_expand, panako_rank, first_seen, first_seen_topk, json_docs,
+    index_missing_refs, index_append, index_merge, numeric_id_map, window_lookup, reference_seconds, matrix_expand, external_rank, first_seen, first_seen_topk, json_docs,
     stats_regex, batch_time,
 )}
 ORACLE_SQL = {
@@ -230,7 +230,7 @@ ORACLE_SQL = {
     "window_lookup": "SELECT l_orderkey, l_linenumber, o_custkey, o_orderkey IS NULL AS unknown FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey",
     "reference_seconds": "SELECT o_custkey, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS seconds FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1",
     "matrix_expand": "SELECT n_name AS system, r_name AS dataset FROM nation, region WHERE n_regionkey <> 0 OR r_regionkey = 0",
-    "panako_rank": """WITH x AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 OR value IS NULL THEN '-inf'::DOUBLE ELSE value END AS s,
+    "external_rank": """WITH x AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 OR value IS NULL THEN '-inf'::DOUBLE ELSE value END AS s,
         coalesce(json_extract_string(props, '$.k')::DOUBLE, '-inf'::DOUBLE) AS k FROM events), b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY s DESC, k DESC, event_id DESC) = 1)
       SELECT user_id, event_type, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY s DESC, k DESC, event_type DESC))::INT AS rank FROM b""",
     "first_seen": "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL",
