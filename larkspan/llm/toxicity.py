@@ -282,6 +282,6 @@ def op7_toxic_segments(spark, sf_dir: str) -> DataFrame:
     model = train(docs, load(spark, sf_dir, "labels"))
     out = toxicity(docs, model)
     return out.select(
-        "doc_id", (_fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "doc_id", (F.col("doc_id").isNotNull() & (_fold(F.col("doc_id")) == 0)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
         F.size("passages").alias("n_passages"),
     )
