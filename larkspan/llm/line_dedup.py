@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.functions.columns import let
-from larkspan.llm.common import SPACE, bitmap, maybe, words
+from larkspan.llm.common import SPACE, SPACE_CLASS, bitmap, maybe
 from larkspan.scratch import materialize
 
 MIN_WORDS = 5
@@ -72,8 +72,8 @@ def _variants(w: Column) -> Column:
     """
     def made(x: Column) -> Column:
         def of(z: Column) -> Column:
-            total = lambda name: F.aggregate(z, F.lit(0).cast("long"), lambda a, v: _add(a, v[name]))
-            sums = F.struct(total("here").alias("here"), total("moved").alias("moved"))
+            end = F.element_at(z, -1)
+            sums = F.struct(_add(end["front"], end["here"]).alias("here"), _add(end["back"], end["moved"]).alias("moved"))
             return let(sums, lambda t: F.struct(
                 t["here"].alias("itself"),
                 F.transform(z, lambda v: _add(v["front"], t["moved"] - _add(v["back"], v["moved"]))).alias("one"),
@@ -89,12 +89,17 @@ def _variants(w: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, doc, line, words): doc tells apart texts that share an id."""
+    """(id, doc, line, text) of lines with a word: doc tells apart texts that share an id."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text).alias("doc"), F.posexplode(F.split(text, "\n", -1)).alias("line", "text")
     )
-    return rows.where(F.trim(F.col("text"), F.lit(SPACE)) != "").select("id", "doc", "line", words(F.col("text")).alias("words"))
+    return rows.where(F.trim(F.col("text"), F.lit(SPACE)) != "")
+
+
+def _norm(text: Column) -> Column:
+    """The words of a line, joined by one blank."""
+    return F.trim(F.regexp_replace(text, f"{SPACE_CLASS}+", " "))
 
 
 def _digest(joined: Column) -> Column:
@@ -115,8 +120,9 @@ def _half_keys(w: Column, n: Column) -> Column:
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line with a word: (id, doc, line, kept, keep_id, keep_line, distance)."""
     kind = docs.schema[id_col].dataType
-    source = _lines(docs, id_col, text_col).withColumn("n", F.size("words")).withColumn("norm", F.array_join("words", " "))
-    rows = source.select(
+    source = _lines(docs, id_col, text_col)
+    split = source.withColumn("norm", _norm(F.col("text"))).withColumn("words", F.split("norm", " ")).withColumn("n", F.size("words"))
+    rows = split.select(
         "id", "doc", "line", "n", _digest(F.col("norm")).alias("digest"),
         F.when(F.col("n") >= MIN_WORDS - 1, _half_keys(F.col("words"), F.col("n"))).alias("halves"),
     )
@@ -135,16 +141,18 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ).where("front or back")
     flagged = materialize(flagged, "flagged")
 
-    key = F.xxhash64("digest")
-    near = source.where(F.col("n") >= MIN_WORDS - 1).withColumn("digest", _digest(F.col("norm")))
-    near = near.where(maybe(key, bitmap(flagged.select(key.alias("key")))))
-    own = flagged.select("digest", F.col("first.id").alias("id"), F.col("first.line").alias("line"), F.col("first.doc").alias("doc"), "front", "back")
-    null_safe = (near["digest"] == own["digest"]) & near["id"].eqNullSafe(own["id"]) & (near["line"] == own["line"]) & (near["doc"] == own["doc"])
-    near = near.join(own, null_safe).select(near["digest"], own["id"], own["line"], own["doc"], "n", "norm", "front", "back")
-    near = materialize(near.dropDuplicates(["digest"]), "near")
+    # The second scan looks at places alone; only the lines found are split into words.
+    own = flagged.select("digest", F.col("first.id").alias("i"), F.col("first.line").alias("l"), F.col("first.doc").alias("d"), "front", "back")
+    near = source.where(maybe(F.xxhash64("doc", "line"), bitmap(own.select(F.xxhash64("d", "l").alias("key")))))
+    same_place = F.col("id").eqNullSafe(F.col("i")) & (F.col("line") == F.col("l")) & (F.col("doc") == F.col("d"))
+    near = near.join(own, same_place).drop("i", "l", "d").dropDuplicates(["digest"])
+    near = near.withColumn("norm", _norm(F.col("text"))).withColumn("words", F.split("norm", " ")).select(
+        "digest", "id", "line", "doc", F.size("words").alias("n"), "norm", "front", "back", _variants(F.col("words")).alias("v")
+    )
+    near = materialize(near, "near")
 
     # A word outside a shared half may be the one that differs.
-    hashes = near.withColumn("v", _variants(F.split("norm", " ")))
+    hashes = near
     low = F.floor((F.col("n") - 1) / 2)
     variants = hashes.where(F.col("n") >= MIN_WORDS).select(
         "digest", "id", "line", "doc", "n", "front", "back", F.posexplode("v.one").alias("p", "h")
