@@ -143,7 +143,7 @@ def _mix(sized: DataFrame, weights, share, most, block, shard_words) -> tuple[Da
     shards = F.greatest(F.lit(1).cast("long"), F.ceil(F.lit(_total(sources) * share / shard_words)).cast("long"))
     chunks = owed.withColumn(
         "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK)))
-    ).repartition("source_id", "chunk")
+    ).repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_id", "chunk")
     first = F.col("chunk") * CHUNK
     slots = chunks.withColumn(
         "slot", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("slots")) - 1))
@@ -171,7 +171,8 @@ def _mix(sized: DataFrame, weights, share, most, block, shard_words) -> tuple[Da
         (F.col("low") - F.col("block") * F.col("width")).alias("inside"),
         (F.least(end, (F.col("block") + 1) * F.col("width")) - F.col("low")).alias("length"),
     )
-    drawn = parts.join(slots, ["source_id", "block"]).withColumn(
+    # Before they are expanded the slots look small, so their join must not be left to the size estimate.
+    drawn = parts.join(slots.hint("merge"), ["source_id", "block"]).withColumn(
         "n", F.least("length", F.col("owed") - F.col("inside"))
     )
     return rows, drawn.where("n > 0").select("row", "pass", "shard", "slot", "block", "from", "n")
