@@ -166,16 +166,16 @@ def paired_difference(spark, sf):
 
 
 def cluster_bootstrap(spark, sf):
-    """Pooled mean with a 95 % interval over 500 replicates, from draws of a shared generator."""
+    """Pooled mean with a 95 % interval over 5,000 replicates, from draws of a shared generator."""
     from larkspan.operators.stats import bootstrap
 
-    return bootstrap(cluster_totals(spark, sf), replicates=500, seed=7)
+    return bootstrap(cluster_totals(spark, sf), seed=7)
 
 
 def paired_permutation(spark, sf):
     from larkspan.operators.stats import permutation
 
-    return permutation(cluster_totals(spark, sf).select("cluster", "total"), replicates=500, seed=7)
+    return permutation(cluster_totals(spark, sf).select("cluster", "total"), seed=7)
 
 
 def segment_windows(spark, sf):

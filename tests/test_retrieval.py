@@ -112,6 +112,21 @@ def test_statistics_against_numpy(spark):
     assert p.p == pytest.approx(((np.abs(signs @ x) >= abs(x.sum())).sum() + 1) / 201)
 
 
+def test_registered_statistics_use_5000_replicates(spark, monkeypatch):
+    totals = [("a", 3, 5), ("b", -1, 2), ("c", 2, 4), ("d", 0, 3)]
+    df = spark.createDataFrame(totals, "cluster string, total long, n long")
+    monkeypatch.setattr(text, "cluster_totals", lambda spark, sf: df)
+    rng = np.random.default_rng(7)
+    x, n = np.array([t[1] for t in totals]), np.array([t[2] for t in totals])
+    draws = [rng.integers(0, 4, 4) for _ in range(5000)]
+    est = [x[d].sum() / n[d].sum() for d in draws]
+    signs = rng.choice([-1, 1], size=(5000, 4))
+    got = text.cluster_bootstrap(spark, SF).first()
+    assert (got.low, got.high) == pytest.approx((np.quantile(est, 0.025), np.quantile(est, 0.975)))
+    p = text.paired_permutation(spark, SF).first()
+    assert p.p == pytest.approx(((np.abs(signs @ x) >= abs(x.sum())).sum() + 1) / 5001)
+
+
 def test_two_hop_and_faces_are_disjoint(spark):
     points = geometry.indexed(spark.createDataFrame([(1, (7 * k) % 40, k, float(k % 5)) for k in range(30)], "track int, f int, t int, score double"))
     faces = geometry.empty_faces(geometry.triples(points), points)
