@@ -4,13 +4,14 @@ Base. Four patterns (email, ip, card, phone), leftmost and non-overlapping per k
 (parts of an address, digits and Luhn sum of a card, digits of a phone number). Splitting a text at a
 pattern gives the gaps between its matches, and so their places, without leaving the JVM.
 
-Bootstrapping. Seeds are the base matches. The two words before a match are its lexical pattern. Words that
+Bootstrapping. Seeds are the base matches. The two words before a match, however far back in the text, are its
+lexical pattern; words of identifiers (with a digit, or part of a match) are all the same placeholder there. Words that
 hold a digit and lie outside all base matches are candidate identifiers. Patterns and instances form a
 bipartite graph that Spark scores in rounds: a pattern's confidence is the summed score of its instances over their number
 (seeds score 1), if seeds or accepted instances of MIN_SUPPORT different values stand behind it;
 an instance's score is 1 - prod(1 - confidence) over its patterns, and instances above ACCEPT count as known in
-the next round. Candidates whose final score passes ACCEPT are new spans of kind ``context``. Base
-spans are never changed.
+the next round. Scores never fall, and rounds go on until none is accepted and no score rises. Candidates whose final
+score passes ACCEPT are new spans of kind ``context``. Base spans are never changed.
 
 Patterns start at the beginning of a run of their first class and give nothing back where that cannot
 change a match, so matching takes time in proportion to the text, and no match recurses. Only DataFrame
@@ -26,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspan.functions.columns import let
+from larkspan.llm.common import SPACE_CLASS
 from larkspan.scratch import materialize
 
 #: A match begins where the character before it is not of its first class, or where the last match ended.
@@ -38,22 +41,40 @@ PATTERNS = {
 }
 KINDS = [*PATTERNS, "context"]
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
-#: Characters before a match in which its two words of context are looked for.
-TAIL = 64
-ROUNDS = 3
+#: Stands for every identifier in a pattern. No word has a tab.
+IDENTIFIER = "\t"
+#: Rounds end when no score rises by more than this.
+SETTLED = 1e-6
 MIN_SUPPORT = 3
 ACCEPT = 0.7
 
 
 def _found(text: Column, pattern: str) -> Column:
-    """Matches in order, each with the length and the end of the gap before it."""
-    both = F.arrays_zip(
+    """Matches in order, each with the length of the gap before it and the last two words that end in that gap.
+
+    The match before a gap goes with it, each of its words as a digit, so that they can be told as an identifier's.
+    Words are null where none ends: then the match is part of the same word as the one before it.
+    """
+    blank = f"{SPACE_CLASS}+"
+
+    def ended(parts: Column) -> Column:
+        whole = F.filter(F.slice(parts, 1, F.size(parts) - 1), lambda w: w != "")
+        return F.when(F.size(parts) > 1, let(whole, lambda w: F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)), 2)))
+
+    def placed(both: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            last = F.get(both, i - 1)["hit"]
+            mark = F.coalesce(F.regexp_replace(last, r"[^\x20\x09-\x0D]+", "0"), F.lit(""))
+            return F.struct(
+                x["hit"].alias("hit"), F.length(x["gap"]).alias("gap"),
+                let(F.split(F.concat(mark, x["gap"]), blank, -1), ended).alias("words"),
+            )
+
+        return F.transform(F.filter(both, lambda x: x["hit"].isNotNull()), one)
+
+    return let(F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")
-    )
-    rows = F.filter(both, lambda x: x["hit"].isNotNull())
-    return F.transform(
-        rows, lambda x: F.struct(x["hit"].alias("hit"), F.length(x["gap"]).alias("gap"), F.right(x["gap"], F.lit(TAIL)).alias("tail"))
-    )
+    ), placed)
 
 
 def _valid(kind: Column, hit: Column) -> Column:
@@ -68,16 +89,15 @@ def _valid(kind: Column, hit: Column) -> Column:
     )
 
 
-def _context(tail: Column) -> Column:
-    """The last two words before a match, in lower case without marks around them; null without two words."""
-    w = r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+[^\x20\x09-\x0D]*$"
+def _context(two: Column) -> Column:
+    """Two words in lower case without marks around them, identifiers as IDENTIFIER; null without two words."""
     strip = lambda x: F.lower(F.regexp_replace(x, r"^[.,;!?()]+|[.,;!?()]+$", ""))
-    first, second = F.regexp_extract(tail, w, 1), F.regexp_extract(tail, w, 2)
-    return F.when(second != "", F.concat_ws(" ", strip(first), strip(second)))
+    word = lambda x: F.when(x.rlike("[0-9]") | x.rlike(PATTERNS["email"]), F.lit(IDENTIFIER)).otherwise(strip(x))
+    return F.when(F.size(two) == 2, F.concat_ws(" ", word(F.get(two, F.lit(0))), word(F.get(two, F.lit(1)))))
 
 
 def _spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): rows (row, id); spans (row, kind, start, end, hit, tail) of valid base matches and of candidates."""
+    """(rows, spans): rows (row, id); spans (row, kind, start, end, hit, two) of valid base matches and of candidates."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     digit = text.rlike("[0-9]")
     needs = {"email": F.contains(text, F.lit("@")), "ip": digit, "card": digit, "phone": digit & F.contains(text, F.lit("+")), "context": digit}
@@ -90,10 +110,17 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     each = hits.select(
         "row", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("found")) for k in KINDS])).alias("x")
     ).select("row", "x.kind", F.posexplode("x.found").alias("i", "y"))
-    before = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("row", "kind").orderBy("i")
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
     moved = F.length("y.hit") + F.col("y.gap")
     start = F.coalesce(F.sum(moved).over(before), F.lit(0)) + F.col("y.gap")
-    spans = each.select("row", "kind", start.alias("start"), (start + F.length("y.hit")).alias("end"), "y.hit", "y.tail")
+    # A gap in which one word ends takes the other from the nearest gap before it in which any ends.
+    earlier = F.last(F.col("y.words"), ignorenulls=True).over(before)
+    each = each.withColumn("earlier", F.coalesce(earlier, F.array().cast("array<string>")))
+    joined = F.concat("earlier", "y.words")
+    reach = F.slice(joined, F.greatest(F.size(joined) - 1, F.lit(1)), 2)
+    two = F.last(F.when(F.col("y.words").isNotNull(), reach), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    spans = each.select("row", "kind", start.alias("start"), (start + F.length("y.hit")).alias("end"), "y.hit", two.alias("two"))
     return hits.select("row", "id"), spans.where(_valid(F.col("kind"), F.col("hit")))
 
 
@@ -108,23 +135,26 @@ def _discovered(spans: DataFrame) -> DataFrame:
     begins = F.min(F.when(base, F.col("start"))).over(later)
     marked = spans.withColumn("ends", ends).withColumn("begins", begins)
     free = base | ((F.coalesce("ends", F.lit(0)) <= F.col("start")) & (F.col("begins").isNull() | (F.col("begins") >= F.col("end"))))
-    marked = marked.where(free).withColumn("pattern", _context(F.col("tail"))).where("pattern is not null")
+    marked = marked.where(free).withColumn("pattern", _context(F.col("two"))).where("pattern is not null")
     marked = materialize(marked.select("row", "kind", "start", "end", "hit", "pattern"), "marked")
 
     seed = (F.max(F.when(base, 1.0).otherwise(0.0))).alias("seed")
     edges = materialize(marked.groupBy("pattern", "hit").agg(seed), "graph")
     known = edges.select("pattern", "hit", F.col("seed").alias("score"))
-    for _ in range(ROUNDS):
+    while True:
         patterns = known.groupBy("pattern").agg(
             (F.sum(F.when(F.col("score") >= ACCEPT, F.col("score")).otherwise(0.0)) / F.count(F.lit(1))).alias("confidence"),
             F.count(F.when(F.col("score") >= ACCEPT, 1)).alias("support"),
         ).where(F.col("support") >= MIN_SUPPORT)
         doubt = F.sum(F.log(F.lit(1.0) - F.least("confidence", F.lit(0.999999))))
         scored = edges.join(patterns, "pattern").groupBy("hit").agg((F.lit(1.0) - F.exp(doubt)).alias("found"))
-        known = edges.join(scored, "hit", "left").select(
-            "pattern", "hit", F.greatest("seed", F.coalesce("found", F.lit(0.0))).alias("score")
+        known = known.join(scored, "hit", "left").select(
+            "pattern", "hit", F.greatest("score", F.coalesce("found", F.lit(0.0))).alias("score"), F.col("score").alias("was")
         )
         known = materialize(known, "known")
+        new = (F.col("score") >= ACCEPT) & (F.col("was") < ACCEPT)
+        if not known.agg(F.max(new | (F.col("score") - F.col("was") > SETTLED))).first()[0]:
+            break
     accepted = known.where(F.col("score") >= ACCEPT).select("hit").distinct()
     return marked.where("kind = 'context'").join(accepted, "hit", "left_semi").select("row", "kind", "start", "end")
 

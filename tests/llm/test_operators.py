@@ -402,6 +402,40 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[20] == [("context", 18, 25)] and not got[21] and not got[0]
 
 
+def test_contexts_reach_over_earlier_identifiers(spark):
+    rng = random.Random(9)
+    parts = ["a", "be,", "(jd42x)", "a@b.c", "a@b.c@d.e", "x1.2.3.4y", "4111 1111 1111 1111", "+1 555 555 1234,", "z9", "w" * 90]
+    data = [(i, "".join(rng.choice(parts) + rng.choice(["", " ", " ", "\n  "]) for _ in range(rng.randint(0, 12)))) for i in range(200)]
+    data = [(i, rng.choice(["", " "]) + t) for i, t in data]
+    rows, spans = pii._spans(table(spark, [(i, t, "s") for i, t in data]), "doc_id", "text")
+    got = spans.join(rows, "row").select("id", "kind", "start", pii._context(F.col("two")).alias("pattern")).collect()
+    assert len(got) > 500
+
+    def word(w):
+        return "\t" if re.search(r"[0-9]", w) or re.search(PATTERNS["email"], w) else w.strip(".,;!?()").lower()
+
+    for r in got:
+        before = re.split(r"[\x20\x09-\x0D]+", dict(data)[r.id][: r.start])[:-1]
+        two = [word(w) for w in before if w][-2:]
+        assert r.pattern == (" ".join(two) if len(two) == 2 else None), r
+
+
+def contexts(spark, data):
+    return {dict(data)[r.doc_id][x.start : x.end] for r in pii.personal_data(table(spark, [(i, t, "s") for i, t in data])).collect() for x in r.all if x.kind == "context"}
+
+
+def test_contexts_find_second_fields(spark):
+    data = [(i, f"user name@b.org pin +1 555 123 45{i:02d}") for i in range(10)] + [(20, "user jd42x pin 99x1")]
+    assert contexts(spark, data) == {"99x1"}
+
+
+def test_contexts_go_on_until_nothing_is_accepted(spark):
+    texts = [f"mail to a{i}@b.org" for i in range(10)] + [f"mail to v0q{j}" for j in range(3)]
+    # Three values known from the step before teach five contexts of the next three.
+    texts += [f"step{'abcdef'[k]} via{p} v{k + new}q{j}" for k in range(6) for p in "abcde" for new in (0, 1) for j in range(3)]
+    assert contexts(spark, list(enumerate(texts))) == {f"v{k}q{j}" for k in range(7) for j in range(3)}
+
+
 def brute_segments(scores):
     """Maximal scoring segments by their recursive definition."""
     if not scores or max(scores) <= 0:
