@@ -1,7 +1,8 @@
 """Exact deduplication through a log-structured merge index of text digests.
 
 * Memtable and flush: every task of the scan is a memtable; it sorts its (digest, id) rows and writes
-  them as one immutable run (Parquet, with a Bloom filter on the digest in every row group).
+  them as one immutable run (Parquet, with a Bloom filter on the digest in every row group). A scan for given digests
+  skips row groups by it; the query itself reads its runs whole, as every row gets a verdict.
 * Compaction: all runs are merged into one level with a row per digest, which keeps the smallest
   identifier (``keep="min"``) or the largest (``keep="max"``) and the number of rows. Rows are
   pre-aggregated before the shuffle, so a text that a third of all rows share moves as one row per task.
@@ -28,6 +29,12 @@ from larkspan.scratch import materialize
 
 #: Bits of the hit bitmap; its broadcast copy never exceeds FILTER_BITS / 8 bytes.
 FILTER_BITS = 1 << 24
+#: Parquet options of a run: filters sized to the digests of their row group. Where a dictionary holds all digests Parquet
+#: writes no filter, so they have none.
+BLOOM = {
+    "parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true",
+    "parquet.enable.dictionary#digest": "false",
+}
 #: Bits in one row of bitmap_construct_agg.
 BITMAP_ROW = 32768
 
@@ -40,7 +47,7 @@ def flush(docs: DataFrame, id_col: str, text_col: str, digest=sha256) -> DataFra
     """Write the sorted runs of ``docs``: (id, digest)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), digest(text).alias("digest"))
-    return materialize(rows.sortWithinPartitions("digest", "id"), "runs")
+    return materialize(rows.sortWithinPartitions("digest", "id"), "runs", BLOOM)
 
 
 def compact(runs: DataFrame, keep: str = "min") -> DataFrame:

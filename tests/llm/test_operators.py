@@ -89,6 +89,19 @@ def test_exact_dedup(docs, rows, keep, weak):
     same(got, [(i, best[t or ""], len(groups[t or ""]), i == best[t or ""]) for i, t, _ in rows])
 
 
+def test_runs_hold_bloom_filters(spark, docs):
+    runs = exact_dedup.flush(docs, "doc_id", "text")
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in runs.inputFiles():
+        source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(name), conf)
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+        for block in reader.getFooter().getBlocks():
+            columns = {c.getPath().toDotString(): c.getBloomFilterOffset() for c in block.getColumns()}
+            assert columns["digest"] > 0 and columns["id"] < 0
+        reader.close()
+
+
 def test_token_counts_match_the_library(docs, rows):
     import public_tokenizers
     import sentencepiece
