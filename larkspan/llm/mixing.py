@@ -8,7 +8,8 @@
   into blocks of ``block`` words. The position of a document in the stream is a running sum that no
   single task computes (``spread_rank``).
 * Slots. A source has one slot per block it owes: whole passes over its blocks, then a partial
-  pass, the last slot cut to the word. Each slot draws its output shard by hash. Given the totals, the
+  pass, the last slot cut to the word. Where the partial pass draws the source's short last block, later slots (one more if
+  need be) owe the difference. Each slot draws its output shard by hash. Given the totals, the
   counts of a source over the shards are then a multinomial draw; the totals are met exactly instead of
   by chance, as the targets ask.
 * Mapping. Slot k of a pass takes the block that a pseudorandom permutation of the source's block numbers
@@ -28,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspan.functions.columns import small
 from larkspan.llm.common import word_count, words
 from larkspan.ranks import spread_rank
 from larkspan.scratch import materialize
@@ -137,7 +139,10 @@ def _mix(sized: DataFrame, weights, share, most, block, shard_words) -> tuple[Da
         sources.where("source_size > 0")
         .withColumn("full", full)
         .withColumn("rest", rest)
-        .withColumn("slots", F.col("full") * F.col("blocks") + F.ceil(F.col("rest") / F.col("width")).cast("long"))
+        .withColumn("short", F.col("blocks") * F.col("width") - F.col("source_size"))
+        # One slot more than full blocks ask for: it makes up for a short block.
+        .withColumn("partial", F.when(F.col("rest") > 0, F.least("blocks", F.ceil(F.col("rest") / F.col("width")).cast("long") + 1)).otherwise(0))
+        .withColumn("slots", F.col("full") * F.col("blocks") + F.col("partial"))
         .where("slots > 0")
     )
     shards = F.greatest(F.lit(1).cast("long"), F.ceil(F.lit(_total(sources) * share / shard_words)).cast("long"))
@@ -149,14 +154,15 @@ def _mix(sized: DataFrame, weights, share, most, block, shard_words) -> tuple[Da
         "slot", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("slots")) - 1))
     ).withColumn("pass", F.floor(F.col("slot") / F.col("blocks")).cast("int"))
     k = F.col("slot") % F.col("blocks")
-    # The partial pass: its last slot takes only what is still owed.
-    owed_here = F.when(F.col("pass") < F.col("full"), F.col("width")).otherwise(
-        F.least(F.col("width"), F.col("rest") - k * F.col("width"))
-    )
     salt = F.xxhash64("source_id", "pass")
-    slots = slots.select(
-        "source_id", "slot", "pass", F.pmod(F.xxhash64("source_id", "slot", F.lit(11)), shards).alias("shard"),
-        permuted(k, F.col("blocks"), salt).alias("block"), owed_here.alias("owed"),
+    slots = slots.withColumn("k", k).withColumn("block", permuted(k, F.col("blocks"), salt))
+    # The partial pass takes what is owed after the blocks before a slot; ``at`` is the slot of the short block, one a source.
+    cut = small(slots.where((F.col("pass") == F.col("full")) & (F.col("short") > 0) & (F.col("block") == F.col("blocks") - 1)).select("source_id", F.col("k").alias("at")), SOURCES_BROADCAST)
+    slots = slots.join(cut, "source_id", "left")
+    before = F.col("k") * F.col("width") - F.when(F.col("at") < F.col("k"), F.col("short")).otherwise(0)
+    owed_here = F.when(F.col("pass") < F.col("full"), F.col("width")).otherwise(F.least(F.col("width"), F.col("rest") - before))
+    slots = slots.withColumn("owed", owed_here).where("owed > 0").select(
+        "source_id", "slot", "pass", F.pmod(F.xxhash64("source_id", "slot", F.lit(11)), shards).alias("shard"), "block", "owed"
     )
 
     stream = spread_rank(

@@ -233,6 +233,18 @@ def test_mixing_meets_targets(docs, rows):
     assert Counter(again.values()) == Counter(taken.values())
 
 
+def test_mixing_meets_targets_to_the_word(spark):
+    # Sources whose last block is short; some partial passes draw it, some last.
+    rng = random.Random(4)
+    rows = [(i, prose(rng, rng.randint(1, 9)), f"s{i % 60:02d}") for i in range(600)]
+    got, drawn = mixing.mix(table(spark, rows), block=16)
+    want = {r.source_id: (r.target, r.source_size) for r in got.select("source_id", "target", "source_size").distinct().collect()}
+    taken = {r.source_id: r.n for r in drawn.join(got.select("row", "source_id"), "row").groupBy("source_id").agg(F.sum("n").alias("n")).collect()}
+    assert any(t % n for t, n in want.values())
+    assert taken == {k: int(t + 0.5) for k, (t, n) in want.items()}
+    assert drawn.groupBy("row", "pass", "from").count().where("count > 1").isEmpty()
+
+
 def test_permutation_is_one_to_one(spark):
     for n in (1, 2, 7, 100, 1023):
         got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(n * 31).cast("long")).alias("p")).collect()
