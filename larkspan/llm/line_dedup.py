@@ -1,8 +1,9 @@
 """Line deduplication by a deletion-neighbourhood join.
 
 Lines are compared as sequences of words. A line is a duplicate if an earlier line (by id, then line number) has the
-same words, or if both have similarity 0.8 or more at an edit distance of one word: one word replaced,
-added or left out, and at least MIN_WORDS words in the longer one. The earliest line is kept.
+same words, or if both are one word apart: one word replaced, added or left out, and at least MIN_WORDS words in the
+longer one. The bound does not follow the length: from 10 words on, lines two words apart and more are kept though their
+similarity may be 0.8 or more. The earliest line is kept.
 
 1. *Exact classes.* Lines of equal words are one class (by digest), whose earliest line stands for it.
 2. *Necessary halves.* Two lines one word apart share their first or their last half. Half keys are counted; lines
