@@ -105,11 +105,16 @@ def adaptive_stage2(spark, sf):
 def _truth(spark, sf) -> DataFrame:
     """The smallest document that holds a benchmark text verbatim, and the token at which it does."""
     docs, items = load(spark, sf, "documents"), load(spark, sf, "benchmark")
-    # A stated query set against all documents: items are matched on their first shingle, then verbatim.
-    first = index.token_shingles(items, "item_id", "text", "item_id").where("offset = 0").select("item_id", "hash").join(items, "item_id")
-    held = index.token_shingles(docs, "doc_id", "text", "doc_id").join(F.broadcast(first.select("hash").distinct()), "hash", "left_semi")
-    pairs = held.select("doc_id", "hash").distinct().join(first.withColumnRenamed("text", "passage"), "hash")
-    found = pairs.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage")))
+    # A stated query set against all documents: items are matched on three inner tokens, then verbatim. The first and the
+    # last token may be glued to other characters in a document; items without three tokens between them are looked for in all.
+    size = F.size(F.split(F.lower("text"), r"\s+"))
+    inner = index.token_shingles(items, "item_id", "text", "item_id").where("offset = 1").select("item_id", "hash")
+    inner = inner.join(items.where(size >= 5), "item_id").withColumnRenamed("text", "passage")
+    held = index.token_shingles(docs, "doc_id", "text", "doc_id").join(F.broadcast(inner.select("hash").distinct()), "hash", "left_semi")
+    pairs = held.select("doc_id", "hash").distinct().join(inner, "hash").drop("hash").join(docs.select("doc_id", "text"), "doc_id")
+    short = items.where(size.between(3, 4)).select("item_id", F.col("text").alias("passage"))
+    tried = pairs.unionByName(docs.select("doc_id", "text").join(F.broadcast(short)))
+    found = tried.where(F.contains("text", F.col("passage")))
     before = F.expr("left(text, instr(text, passage) - 1)")
     place = F.size(F.split(F.lower(before), r"\s+")) - 1
     return found.groupBy("item_id").agg(F.min("doc_id").alias("reference_id"), F.min_by(place, "doc_id").alias("place"))

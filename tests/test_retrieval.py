@@ -127,6 +127,15 @@ def test_registered_statistics_use_5000_replicates(spark, monkeypatch):
     assert p.p == pytest.approx(((np.abs(signs @ x) >= abs(x.sum())).sum() + 1) / 5001)
 
 
+def test_truth_finds_passages_glued_to_other_characters(spark, tmp_path):
+    docs = [(1, 'he said "One two three four Five six" then'), (2, "One two three four Five six"), (3, "(red green blue), one"), (4, "x a b c dd"), (5, "one two three")]
+    items = [(1, "One two three four Five six"), (2, "red green blue"), (3, "a b c d"), (4, "one two"), (5, "absent in all of them")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.item_id: (r.reference_id, r.place) for r in text._truth(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 2), 2: (3, 0), 3: (4, 1)}
+
+
 def test_two_hop_and_faces_are_disjoint(spark):
     points = geometry.indexed(spark.createDataFrame([(1, (7 * k) % 40, k, float(k % 5)) for k in range(30)], "track int, f int, t int, score double"))
     faces = geometry.empty_faces(geometry.triples(points), points)
