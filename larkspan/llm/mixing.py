@@ -7,11 +7,11 @@
 * Blocks. A source's documents, in id order within hashed buckets, form one stream of words, packed
   into blocks of ``block`` words. The position of a document in the stream is a running sum that no
   single task computes (``spread_rank``).
-* Slots. A source has one slot per block it owes: whole passes over its blocks, then a partial
+* Counts. A source owes one slot per block: whole passes over its blocks, then a partial
   pass, the last slot cut to the word. Where the partial pass draws the source's short last block, later slots (one more if
-  need be) owe the difference. Each slot draws its output shard by hash. Given the totals, the
-  counts of a source over the shards are then a multinomial draw; the totals are met exactly instead of
-  by chance, as the targets ask.
+  need be) owe the difference. How many slots of a source an output shard gets is drawn: a multinomial count over the shards, given the
+  source's total (which the target fixes).
+* Slots. The counts allot the slots: a shard gets a run of as many of its source's slots as its count says (``shard_counts``).
 * Mapping. Slot k of a pass takes the block that a pseudorandom permutation of the source's block numbers
   sends k to: a modular multiplication followed by swap-or-not rounds, both one-to-one, so a
   pass takes no block twice and no document is taken more than twice.
@@ -20,8 +20,8 @@
 Only DataFrame functions. Hashes and ids decide everything, so reruns agree.
 
 Cases: null or blank text has size 0 and takes nothing. A null source is a source, the last one. Rows
-that repeat an id are separate rows; null ids likewise. An empty table gives an empty result. Columns
-other than id, source and text are read only by ``mixed_documents``, which returns them.
+that repeat an id are separate rows; null ids likewise; rows equal in id and text are interchangeable. An empty table gives an empty result. Long texts
+are counted and cut whole. Columns other than id, source and text are read only by ``mixed_documents``, which returns them, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspan.functions.columns import small
-from larkspan.llm.common import word_count, words
+from larkspan.functions.columns import let, small
+from larkspan.llm.common import SPACE, SPACE_CLASS, word_count
 from larkspan.ranks import spread_rank
 from larkspan.scratch import materialize
 
@@ -38,8 +38,8 @@ from larkspan.scratch import materialize
 SOURCES_BROADCAST = 100_000
 #: Slots that one row expands to at a time.
 CHUNK = 4096
-#: A block number must stay below the multiplier, a prime.
-PRIMES = (2147483647, 2147483629, 2147483587)
+#: Multipliers: primes of 2^61 and more, above any number of blocks.
+PRIMES = (2305843009213693951, 4611686018427387847, 9223372036854775783)
 ROUNDS = 6
 
 
@@ -81,7 +81,8 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float
 def permuted(k: Column, n: Column, salt: Column) -> Column:
     """A pseudorandom one-to-one map of 0..n-1, for n below the smallest of PRIMES."""
     prime = F.element_at(F.array(*map(F.lit, PRIMES)), (F.pmod(salt, F.lit(len(PRIMES)))).cast("int") + 1)
-    start = (k * (prime % n) + F.pmod(F.xxhash64(salt), n)) % n
+    wide = lambda x: x.cast("decimal(19,0)")  # noqa: E731  products have 38 digits at most
+    start = (((wide(k) * wide(prime % n)) % wide(n)).cast("long") + F.pmod(F.xxhash64(salt), n)) % n
 
     def swap(x: Column, r: Column) -> Column:
         partner = (F.pmod(F.xxhash64(salt, r), n) - x + n) % n
@@ -112,22 +113,35 @@ def mix(
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, drawn).
 
-    rows: (row, id, source, size, source_size, target), a row per document.
+    rows: (row, id, hash, source, size, source_size, target), a row per document; hash is the text's.
     drawn: (row, pass, shard, slot, block, from, n): n words of the document from its word ``from`` on are
     part of the block that the slot holds.
     """
     sized = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
+        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
     )
     sized = materialize(sized.withColumn("row", F.monotonically_increasing_id()), "sized")
     return _mix(sized, weights, share, most, block, shard_words)
 
 
+def shard_counts(owed: DataFrame, shards: Column) -> DataFrame:
+    """(source_id, slots) to (source_id, shard, n, first): the drawn number of a source's slots in every output shard that gets any, and
+    the first slot of the shard's run. The counts of a source add up to its slots."""
+    dealt = owed.select("source_id", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK))).alias("chunk"))
+    dealt = dealt.repartition(_partitions(owed), "source_id", "chunk")
+    first = F.col("chunk") * CHUNK
+    draws = dealt.select("source_id", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("slots")) - 1)).alias("draw"))
+    counts = draws.groupBy("source_id", F.pmod(F.xxhash64("source_id", "draw", F.lit(11)), shards).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    return spread_rank(materialize(counts, "counts"), "source_id", "shard", "first", amount="n")
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _mix(sized: DataFrame, weights, share, most, block, shard_words) -> tuple[DataFrame, DataFrame]:
     sources = targets(sized, weights, share, most)
-    # Fewer than the smallest prime many blocks, whatever the source's size.
-    width = F.greatest(F.lit(block).cast("long"), F.ceil(F.col("source_size") / F.lit(1 << 30)).cast("long"))
-    sources = sources.withColumn("width", width).withColumn(
+    sources = sources.withColumn("width", F.lit(block).cast("long")).withColumn(
         "blocks", F.ceil(F.col("source_size") / F.col("width")).cast("long")
     )
     sources = materialize(sources, "targets")
@@ -146,12 +160,10 @@ def _mix(sized: DataFrame, weights, share, most, block, shard_words) -> tuple[Da
         .where("slots > 0")
     )
     shards = F.greatest(F.lit(1).cast("long"), F.ceil(F.lit(_total(sources) * share / shard_words)).cast("long"))
-    chunks = owed.withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK)))
-    ).repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_id", "chunk")
-    first = F.col("chunk") * CHUNK
-    slots = chunks.withColumn(
-        "slot", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("slots")) - 1))
+    runs = shard_counts(owed, shards).join(small(owed.drop("source", "source_size", "target"), SOURCES_BROADCAST), "source_id")
+    # A shard's run is expanded by one task: about shard_words / block slots.
+    slots = runs.repartition(_partitions(sources), "source_id", "shard").withColumn(
+        "slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1))
     ).withColumn("pass", F.floor(F.col("slot") / F.col("blocks")).cast("int"))
     k = F.col("slot") % F.col("blocks")
     salt = F.xxhash64("source_id", "pass")
@@ -162,11 +174,11 @@ def _mix(sized: DataFrame, weights, share, most, block, shard_words) -> tuple[Da
     before = F.col("k") * F.col("width") - F.when(F.col("at") < F.col("k"), F.col("short")).otherwise(0)
     owed_here = F.when(F.col("pass") < F.col("full"), F.col("width")).otherwise(F.least(F.col("width"), F.col("rest") - before))
     slots = slots.withColumn("owed", owed_here).where("owed > 0").select(
-        "source_id", "slot", "pass", F.pmod(F.xxhash64("source_id", "slot", F.lit(11)), shards).alias("shard"), "block", "owed"
+        "source_id", "slot", "pass", "shard", "block", "owed"
     )
 
     stream = spread_rank(
-        rows.where("size > 0"), "source_id", "id", "begin", amount="size", order=["id", "size"]
+        rows.where("size > 0").withColumn("own", F.struct("id", "hash")), "source_id", "own", "begin", amount="size", order=["id", "size", "hash"]
     )
     end = F.col("begin") + F.col("size")
     parts = stream.withColumn(
@@ -189,27 +201,28 @@ def _total(sources: DataFrame) -> int:
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of every document."""
+    """Words that the mix takes of every document, and the number of output shards that they go to."""
     from larkspan.llm.common import load
 
     rows, drawn = mix(load(spark, sf_dir, "documents"))
-    taken = drawn.groupBy("row").agg(F.sum("n").alias("taken"))
+    taken = drawn.groupBy("row").agg(F.sum("n").alias("taken"), F.size(F.collect_set("shard")).alias("n_shards"))
     out = rows.join(taken, "row", "left")
     return out.select(
-        F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        F.coalesce("n_shards", F.lit(0)).alias("n_shards"),
     )
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: a row per document and pass that takes of it.
 
-    A document taken whole keeps its text; of one taken in part the taken words remain, joined by blanks.
+    A document taken whole keeps its text; of one taken in part the taken words remain, with the white space behind each but the last.
     """
     source_col = options.pop("source_col", "source")
-    kept = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
+    kept = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "documents")
+    text = F.col("doc")[text_col]
     sized = kept.select(
-        F.col("__row").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-        word_count(F.col(text_col)).alias("size"),
+        "row", F.col("doc")[id_col].alias("id"), F.xxhash64(text).alias("hash"), F.col("doc")[source_col].alias("source"), word_count(text).alias("size")
     )
     full = {"weights": (5, 2, 1), "share": 1.5, "most": 2.0, "block": 128, "shard_words": 1 << 22} | options
     rows, drawn = _mix(materialize(sized, "sized"), **full)
@@ -217,16 +230,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = drawn.groupBy("row", "pass").agg(
         F.sum("n").alias("taken"), F.sort_array(F.collect_list(F.struct("from", "n"))).alias("spans")
     )
-    spans = spans.join(rows.select("row", "size"), "row").select(
-        F.col("row").alias("__own"), F.col("taken").alias("__taken"), F.col("spans").alias("__spans"), F.col("size").alias("__size")
-    )
-    out = kept.join(spans, F.col("__row") == F.col("__own"))
-    own = words(F.col(text_col))
-    cut = F.array_join(
-        F.flatten(F.transform("__spans", lambda s: F.slice(F.col("__words"), (s["from"] + 1).cast("int"), s["n"].cast("int")))), " "
-    )
-    whole = F.col("__taken") == F.col("__size")
-    out = out.withColumn("__words", F.when(~whole, own)).withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(cut))
+    spans = spans.join(rows.select("row", "size"), "row").select("row", F.when(F.col("taken") < F.col("size"), F.col("spans")).alias("spans"))
+    pieces = F.regexp_extract_all(text, F.lit(f"[^\\x20\\x09-\\x0D]++{SPACE_CLASS}*+"), F.lit(0))
+
+    def cut(each: Column) -> Column:
+        own = F.transform("spans", lambda s: F.slice(each, (s["from"] + 1).cast("int"), s["n"].cast("int")))
+        return F.rtrim(F.array_join(F.flatten(own), ""), F.lit(SPACE))
+
+    out = kept.join(spans, "row").withColumn("cut", F.when(F.col("spans").isNotNull(), let(pieces, cut)).otherwise(text))
+    new = {text_col: F.col("cut")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("cut").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
