@@ -28,10 +28,17 @@ def word_count(text: Column) -> Column:
 
 #: Bits of a bitmap filter; it never exceeds FILTER_BITS / 8 bytes.
 FILTER_BITS = 1 << 24
+#: Keys up to which a bitmap tells enough rows apart; beyond, callers join by shuffle.
+FILTER_KEYS = FILTER_BITS // 8
 #: Bits in one row of bitmap_construct_agg.
 _PART = 32768
 
 
+def fits(keys: DataFrame) -> bool:
+    """Whether a bitmap of these rows' keys is worth while."""
+    return keys.limit(FILTER_KEYS + 1).count() <= FILTER_KEYS
+
+
 def bitmap(keys: DataFrame, bits: int = FILTER_BITS) -> Column:
     """A bitmap of ``keys.key`` (long) as an array of parts: a scalar subquery, computed once."""
     slot = F.pmod(F.xxhash64("key"), F.lit(bits))

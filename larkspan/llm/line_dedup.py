@@ -1,20 +1,22 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-Lines are compared as sequences of words. A line is a duplicate if an earlier line (by id, then line number) has the
-same words, or if both are one word apart: one word replaced, added or left out, and at least MIN_WORDS words in the
-longer one. The bound does not follow the length: from 10 words on, lines two words apart and more are kept though their
-similarity may be 0.8 or more. The earliest line is kept.
+Lines are compared as sequences of words. Two lines are linked if they have the same words, or are one word
+apart: one word replaced, added or left out, and at least MIN_WORDS words in the
+longer one. Linked lines form groups, and the earliest line of a group (by id, then line number) is kept for all of them, so whatever a
+line is dropped for is kept itself. The bound does not follow the length: from 10 words on, lines two words apart and more are
+not linked though their similarity may be 0.8 or more.
 
 1. *Exact classes.* Lines of equal words are one class (by digest), whose earliest line stands for it.
 2. *Necessary halves.* Two lines one word apart share their first or their last half. Half keys are counted; lines
    whose halves occur nowhere else emit nothing.
 3. *Deletion neighbourhood.* Each remaining line emits the hash of every variant with one word left out (of the
    sides that are shared), and of itself. The hash is a sum over words and places, so running sums give all variants at once.
-   Keys that occur once are dropped by a fixed-size bitmap before variants are shuffled with their places.
+   Keys that occur once are dropped by a fixed-size bitmap (a semi-join where the keys outgrow it) before variants are shuffled with their places.
 4. *Join.* Variants meet on their key. Within a key no pairs are made: variants that left out the same
-   place are all one replacement apart, so each meets the earliest of them; a line meets its own variants'
-   earliest, and they meet it. That finds for every line its earliest neighbour.
+   place are all one replacement apart, so each meets the earliest of them; and each meets the line that has the key itself.
+   Every line that has a neighbour is so linked into its group.
 5. *Verification.* The words of both lines decide.
+6. *Groups.* Connected components of the links between classes; the earliest line of each is kept.
 
 Only DataFrame functions. Aggregates come before shuffles, so a line or template that a third of all lines share
 moves as one row per task.
@@ -22,7 +24,7 @@ moves as one row per task.
 Cases: null text has no lines. Lines without a word are never duplicates and are kept. Null ids come first. Rows that
 repeat id and text share their lines' places: neither is earlier than the other. An empty table gives an
 empty result. Lines of any length are compared whole. Extra columns are ignored, and kept by
-``without_duplicate_lines``.
+``without_duplicate_lines``, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.functions.columns import let
-from larkspan.llm.common import SPACE, SPACE_CLASS, bitmap, maybe
+from larkspan.llm.common import SPACE, SPACE_CLASS, bitmap, fits, maybe
+from larkspan.llm.components import connected_components
 from larkspan.scratch import materialize
 
 MIN_WORDS = 5
@@ -133,10 +136,16 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(classes, "classes")
 
     shared = classes.select(F.explode("halves").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = materialize(shared.select("key"), "shared")
     flagged = classes.where("halves is not null")
-    seen = bitmap(shared.select("key"))
-    halves = F.array(*[maybe(F.get("halves", F.lit(i)), seen) for i in range(4)])
-    flagged = flagged.select("digest", "first", halves.alias("h")).select(
+    if fits(shared):
+        seen = bitmap(shared)
+        flagged = flagged.select("digest", "first", F.array(*[maybe(F.get("halves", F.lit(i)), seen) for i in range(4)]).alias("h"))
+    else:
+        halves = flagged.select("digest", F.posexplode("halves").alias("i", "key")).join(shared, "key", "left_semi")
+        held = halves.groupBy("digest").agg(F.collect_set("i").alias("held"))
+        flagged = flagged.join(held, "digest").select("digest", "first", F.array(*[F.array_contains("held", i) for i in range(4)]).alias("h"))
+    flagged = flagged.select(
         "digest", "first", (F.get("h", F.lit(0)) | F.get("h", F.lit(2))).alias("front"),
         (F.get("h", F.lit(1)) | F.get("h", F.lit(3))).alias("back"),
     ).where("front or back")
@@ -144,7 +153,9 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # The second scan looks at places alone; only the lines found are split into words.
     own = flagged.select("digest", F.col("first.id").alias("i"), F.col("first.line").alias("l"), F.col("first.doc").alias("d"), "front", "back")
-    near = source.where(maybe(F.xxhash64("doc", "line"), bitmap(own.select(F.xxhash64("d", "l").alias("key")))))
+    near = source
+    if fits(own):
+        near = near.where(maybe(F.xxhash64("doc", "line"), bitmap(own.select(F.xxhash64("d", "l").alias("key")))))
     same_place = F.col("id").eqNullSafe(F.col("i")) & (F.col("line") == F.col("l")) & (F.col("doc") == F.col("d"))
     near = near.join(own, same_place).drop("i", "l", "d").dropDuplicates(["digest"])
     near = near.withColumn("norm", _norm(F.col("text"))).withColumn("words", F.split("norm", " ")).select(
@@ -162,24 +173,19 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     variants = variants.select("digest", "id", "line", "doc", F.xxhash64("h", F.col("n") - 1).alias("key"), "p")
     itself = hashes.select("digest", "id", "line", "doc", F.xxhash64("v.itself", "n").alias("key"), F.lit(-1).alias("p"))
     every = variants.unionByName(itself)
-    twice = every.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    met = every.where(maybe(F.col("key"), bitmap(twice)))
+    twice = materialize(every.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "twice")
+    met = every.where(maybe(F.col("key"), bitmap(twice))) if fits(twice) else every.join(twice, "key", "left_semi")
     met = materialize(met, "met")
 
     at = F.struct("id", "line", "doc", "digest")
     by_place = materialize(met.groupBy("key", "p").agg(F.min(at).alias("earliest"), F.count(F.lit(1)).alias("m")), "by_place")
-    by_key = by_place.groupBy("key").agg(
-        F.min(F.when(F.col("p") < 0, F.col("earliest"))).alias("line"), F.min(F.when(F.col("p") >= 0, F.col("earliest"))).alias("variant"),
-        F.sum("m").alias("m"),
-    ).where("m > 1").drop("m")
-    met = met.withColumn("own", at)
-    replaced = met.where("p >= 0").join(by_place.where("p >= 0 and m > 1").select("key", "p", "earliest"), ["key", "p"])
-    longer = met.where("p >= 0").join(by_key.where("line is not null").select("key", F.col("line").alias("earliest")), "key")
-    shorter = met.where("p < 0").join(by_key.where("variant is not null").select("key", F.col("variant").alias("earliest")), "key")
-    pairs = replaced.select("own", "earliest").unionByName(longer.select("own", "earliest")).unionByName(shorter.select("own", "earliest"))
-    pairs = pairs.where((F.col("earliest") < F.col("own")) & (F.col("earliest.digest") != F.col("own.digest"))).select(
-        F.col("own.digest").alias("digest"), F.col("earliest.digest").alias("other"), "earliest"
-    ).distinct()
+    # Lines of equal words are one class, so a key has one line at most, and all who hold it as a variant are one word longer.
+    by_line = by_place.where("p < 0").select("key", "earliest")
+    met = met.where("p >= 0").withColumn("own", at)
+    replaced = met.join(by_place.where("p >= 0 and m > 1").select("key", "p", "earliest"), ["key", "p"])
+    longer = met.join(by_line, "key")
+    pairs = replaced.select("own", "earliest").unionByName(longer.select("own", "earliest"))
+    pairs = pairs.select(F.col("own.digest").alias("digest"), F.col("earliest.digest").alias("other")).where("digest <> other").distinct()
     texts = near.select("digest", F.split("norm", " ").alias("a"))
     both = pairs.join(texts, "digest").join(texts.select(F.col("digest").alias("other"), F.col("a").alias("b")), "other")
     same = F.zip_with("a", "b", lambda x, y: x.eqNullSafe(y))
@@ -188,15 +194,18 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     longest = F.greatest(F.size("a"), F.size("b"))
     apart = F.abs(F.size("a") - F.size("b"))
     sure = both.where((apart <= 1) & (longest >= MIN_WORDS) & (run(same) + run(back) >= longest - 1))
-    removed = sure.groupBy("digest").agg(F.min("earliest").alias("keeper"))
+    own = near.select("digest", F.struct("id", "line", "doc").alias("u"))
+    links = sure.select("digest", "other").join(own, "digest").join(own.select(F.col("digest").alias("other"), F.col("u").alias("v")), "other")
+    groups = connected_components(links.select("u", "v")).where("node <> component")
 
-    verdict = classes.where("m > 1").select("digest", "first").join(removed, "digest", "full_outer")
+    heads = classes.select("digest", F.col("first").alias("node"), "m")
+    verdict = heads.join(groups, "node", "left").where("m > 1 or component is not null").select("digest", "node", "component")
     out = rows.drop("halves").join(verdict, "digest", "left")
-    copy = F.col("first").isNotNull() & ~place.eqNullSafe(F.col("first"))
-    # A class whose earliest line has an earlier neighbour goes whole; its copies name their own earliest line.
-    distance = F.when(copy, 0).when(F.col("keeper").isNotNull(), 1)
-    keep_id = F.when(copy, F.col("first.id")).when(F.col("keeper").isNotNull(), F.col("keeper.id")).otherwise(F.col("id"))
-    keep_line = F.when(copy, F.col("first.line")).when(F.col("keeper").isNotNull(), F.col("keeper.line")).otherwise(F.col("line"))
+    # A copy of its class's earliest line is at distance 0 from it, whatever line is kept for both.
+    distance = F.when(F.col("component").isNotNull() & place.eqNullSafe(F.col("node")), 1).when(F.col("node").isNotNull() & ~place.eqNullSafe(F.col("node")), 0)
+    head = F.coalesce("component", "node")
+    keep_id = F.when(distance.isNull(), F.col("id")).otherwise(head["id"])
+    keep_line = F.when(distance.isNull(), F.col("line")).otherwise(head["line"])
     return out.select(
         F.col("id").cast(kind).alias(id_col), "doc", "line", distance.isNull().alias("kept"), keep_id.alias("keep_id"),
         keep_line.alias("keep_line"), distance.alias("distance"),
@@ -211,24 +220,27 @@ def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: s
         F.min("kept").alias("__clean"), F.max("kept").alias("__any"), F.sort_array(F.collect_set(F.when(~F.col("kept"), F.col("line")))).alias("__gone")
     )
     touched = materialize(flags.where("not __clean"), "touched")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.xxhash64(text)
-    marked = docs.withColumn("__key", key)
-    marked = marked.withColumn("__maybe", maybe(F.col("__key"), bitmap(touched.select(F.col("__doc").alias("key")))))
-    plain = marked.where("not __maybe").select(*docs.columns)
-    joined = marked.where("__maybe").join(touched, (F.col("__key") == F.col("__doc")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    rest = F.filter(F.split(text, "\n", -1), lambda x, i: F.get("__stays", i))
-    # __gone becomes a flag for every line: for each gap between gone lines, that many true and one false.
-    total = F.size(F.split(text, "\n", -1))
-    ends = F.concat(F.col("__gone"), F.array(total))
-    begins = F.concat(F.array(F.lit(0)), F.transform("__gone", lambda x: x + 1))
-    gaps = F.zip_with(begins, ends, lambda b, e: F.concat(F.array_repeat(F.lit(True), e - b), F.array(F.lit(False))))
-    joined = joined.withColumn("__stays", F.flatten(gaps))
-    joined = joined.where(F.col("__any").isNull() | F.col("__any"))
-    out = joined.withColumn(text_col, F.when(F.col("__gone").isNotNull(), F.array_join(rest, "\n")).otherwise(F.col(text_col)))
+    text = F.coalesce(F.col("doc")[text_col], F.lit(""))
+    rows = docs.select(F.struct("*").alias("doc")).withColumn("key", F.xxhash64(text))
+    keys = touched.select(F.col("__doc").alias("key"))
+    rows = rows.withColumn("suspect", maybe(F.col("key"), bitmap(keys)) if fits(keys) else F.lit(True))
+    found = (F.col("key") == F.col("__doc")) & F.col("doc")[id_col].eqNullSafe(F.col("__id"))
+    joined = rows.where("suspect").join(touched, found, "left")
+
+    # The gone places become a flag for every line: for each gap between them, that many true and one false.
+    def stay(lines: Column) -> Column:
+        ends = F.concat(F.col("__gone"), F.array(F.size(lines)))
+        begins = F.concat(F.array(F.lit(0)), F.transform("__gone", lambda x: x + 1))
+        gaps = F.zip_with(begins, ends, lambda b, e: F.concat(F.array_repeat(F.lit(True), e - b), F.array(F.lit(False))))
+        return let(F.flatten(gaps), lambda flags: F.array_join(F.filter(lines, lambda x, i: F.get(flags, i)), "\n"))
+
+    cut = F.when(F.col("__gone").isNotNull(), let(F.split(text, "\n", -1), stay))
+    out = joined.where(F.col("__any").isNull() | F.col("__any")).withColumn("cut", cut)
+    new = {text_col: F.coalesce("cut", F.col("doc")[text_col])}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNotNull(), F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return plain.unionByName(out.select(*docs.columns))
+        new["n_chars"] = F.coalesce(F.length("cut"), F.col("doc")["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    out = out.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
+    return rows.where("not suspect").select("doc.*").unionByName(out)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -239,7 +251,7 @@ def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
 ), l AS (
   SELECT doc_id, i - 1 AS line, list_filter(string_split_regex(ls[i], '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
@@ -251,17 +263,23 @@ WITH d AS (
 ), v AS (
   SELECT norm, first, n - 1 AS n, p, array_to_string(list_concat(w[:p - 1], w[p + 1:]), ' ') AS rest
   FROM (SELECT *, unnest(range(1, n + 1)) AS p FROM c WHERE n >= 5)
-), r AS (
-  SELECT norm, min(first) OVER (PARTITION BY rest, n, p) AS other, first FROM v
-  UNION ALL SELECT v.norm, c.first, v.first FROM v JOIN c ON c.norm = v.rest
-  UNION ALL SELECT c.norm, v.first, c.first FROM v JOIN c ON c.norm = v.rest
+), e AS MATERIALIZED (
+  SELECT DISTINCT x, y FROM (
+    SELECT first AS x, min(first) OVER (PARTITION BY rest, n, p) AS y FROM v
+    UNION ALL SELECT v.first, c.first FROM v JOIN c ON c.norm = v.rest
+  ) WHERE x <> y
+), g AS MATERIALIZED (
+  SELECT x, y FROM e UNION SELECT y, x FROM e
+), r(node, head) AS (
+  SELECT DISTINCT x, x FROM g
+  UNION
+  SELECT g.y, r.head FROM r JOIN g ON g.x = r.node WHERE r.head < g.y
 ), k AS (
-  SELECT norm, min(other) AS other FROM r WHERE other < first GROUP BY norm
+  SELECT node, min(head) AS head FROM r GROUP BY node HAVING min(head) < node
+), z AS (
+  SELECT a.doc_id, a.line, c.first = {'id': a.doc_id, 'line': a.line} AS earliest, c.first, k.head FROM a JOIN c USING (norm) LEFT JOIN k ON k.node = c.first
 )
-SELECT a.doc_id, a.line::INT AS line,
-       (c.first = {'id': a.doc_id, 'line': a.line}) AND k.other IS NULL AS kept,
-       CASE WHEN c.first <> {'id': a.doc_id, 'line': a.line} THEN c.first.id WHEN k.other IS NOT NULL THEN k.other.id ELSE a.doc_id END AS keep_id,
-       (CASE WHEN c.first <> {'id': a.doc_id, 'line': a.line} THEN c.first.line WHEN k.other IS NOT NULL THEN k.other.line ELSE a.line END)::INT AS keep_line,
-       CASE WHEN c.first <> {'id': a.doc_id, 'line': a.line} THEN 0 WHEN k.other IS NOT NULL THEN 1 END AS distance
-FROM a JOIN c USING (norm) LEFT JOIN k USING (norm)
+SELECT doc_id, line::INT AS line, earliest AND head IS NULL AS kept, coalesce(head, first).id AS keep_id, coalesce(head, first).line::INT AS keep_line,
+       CASE WHEN NOT earliest THEN 0 WHEN head IS NOT NULL THEN 1 END AS distance
+FROM z
 """

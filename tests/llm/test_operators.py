@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspan.llm import (
-    bestfit, components, exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality, sharding, token_counts, toxicity,
+    bestfit, common, components, exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality, sharding, token_counts, toxicity,
 )
 
 SCHEMA = (
@@ -340,11 +340,22 @@ def brute_lines(rows):
         long, short = (a, b) if len(a) > len(b) else (b, a)
         return any(long[:p] + long[p + 1 :] == short for p in range(len(long)))
 
-    near = {w: min((q for v, q in first.items() if q < p and close(w, v)), default=None) for w, p in first.items()}
+    head = {w: w for w in first}
+
+    def find(w):
+        while head[w] != w:
+            w = head[w]
+        return w
+
+    for v in first:
+        for w in first:
+            if first[v] < first[w] and close(v, w):
+                x, y = sorted((find(v), find(w)), key=first.get)
+                head[y] = x
     out = []
     for i, k, w in lines:
-        p, q = first[tuple(w)], near[tuple(w)]
-        out.append((i, k, *((False, *p, 0) if (i, k) != p else (False, *q, 1) if q else (True, i, k, None))))
+        p, q = first[tuple(w)], first[find(tuple(w))]
+        out.append((i, k, *((True, i, k, None) if (i, k) == q else (False, *q, 1 if (i, k) == p else 0))))
     return out
 
 
@@ -368,7 +379,11 @@ def line_rows():
     return out + [(50, None), (51, ""), (52, "\n \n"), (53, prose(rng, 3000)), (54, "page 1 of the great long report"), *((60 + k, f"page {k + 2} of the great long report") for k in range(20))]
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("keys", [None, 0])
+def test_line_dedup(spark, monkeypatch, keys):
+    """With 0 keys to a bitmap, semi-joins take its place."""
+    if keys is not None:
+        monkeypatch.setattr(common, "FILTER_KEYS", keys)
     data = line_rows()
     got = line_dedup.duplicate_lines(table(spark, [(i, t, "s") for i, t in data])).collect()
     want = brute_lines(data)
@@ -387,6 +402,15 @@ def test_line_dedup(spark):
 SCHEMA_COLUMNS = [x.strip().split(" ")[0].strip("`") for x in SCHEMA.split(", ")]
 
 
+def test_what_a_line_is_dropped_for_is_kept(spark):
+    chain = ["a b c d e f", "a b c d e x", "a b c d y x", "a b c z y x", "quite another line of words", "a b c z y x"]
+    data = [(i, t, "s") for i, t in enumerate(chain)] + [(10, "quite another line of words\nquite another line of wards", "s")]
+    got = {(r.doc_id, r.line): r for r in line_dedup.duplicate_lines(table(spark, data)).collect()}
+    assert {k for k, r in got.items() if r.kept} == {(0, 0), (4, 0)}
+    assert all(got[r.keep_id, r.keep_line].kept for r in got.values())
+    assert got[5, 0].distance == 0 and got[3, 0].distance == 1 and got[10, 1].keep_id == 4
+
+
 def test_line_dedup_takes_repeated_rows_and_null_ids(docs):
     out = line_dedup.duplicate_lines(docs)
     assert out.count() == docs.select(F.explode(F.split("text", "\n")).alias("x")).where(F.regexp_count("x", F.lit(WORD)) > 0).count()
