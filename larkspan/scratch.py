@@ -25,14 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet (with a writer's ``options``) under the shared folder and return the table read back."""
+def materialize(df: DataFrame, name: str, options: dict[str, str] | None = None, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet (with a writer's ``options``, in a folder for each value of ``by``) under the shared folder and
+    return the table read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/larkspan-{uuid.uuid4().hex}/{name}"
     if not _made:
         atexit.register(_sweep)
     _made.append(path)
-    df.write.options(**(options or {})).parquet(path)
+    df.write.options(**(options or {})).parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 
