@@ -1,24 +1,26 @@
 """Best-fit packing of token pieces into sequences, in bulk-synchronous supersteps.
 
-Documents become token ids and an end id; longer ones are cut into full pieces and a rest. A
-superstep takes every waiting piece of the longest length at once:
-
-1. *Range sort.* Pieces are ordered by (length, id) and sequences with room by (gap, number).
-2. *Successor sweep.* The successor of a length is the smallest gap that still holds it.
-3. *Conflicts.* All pieces of the superstep want that gap. They are resolved by rank: the i-th
-   piece gets the i-th place among the sequences of that gap, which hold gap // length pieces each;
-   the pieces left over sweep on to the next larger gap, and open new sequences when none is left.
-4. *Update.* The gaps shrink by what they took, and the next superstep begins.
-
-This is best-fit decreasing. Lengths and gaps are integers from 1 to the capacity, so the state of a
-sweep is a count per length and runs of like sequences per gap: bounded by the capacity and not by the
-number of documents. The driver therefore plans the supersteps on the counts, and the executors apply
-the plan: each piece finds its rank within its length (``spread_rank``, no task sees a whole length)
-and looks its rank up in the plan's rank intervals. Pieces of full length take a sequence of their own.
+Documents become token ids and an end id; longer ones are cut into full pieces and a rest. Pieces are range-sorted once: a piece's
+rank is the number of shorter pieces and its place among those of its length (``spread_rank``; no task sees a whole length).
+Bands of lengths are packed from the longest to the shortest; the pieces of a band are at least BAND times as long
+as its longest, U. A superstep packs a band:
+
+1. *Gaps.* A sequence with room g, if the band's shortest piece fits, offers floor(g / U) slots (one at least): all of size U but the
+   last, which has the rest. Slots are range-sorted by size as pieces are by length.
+2. *Successor sweep.* The successor of a piece is the first slot in that order which holds it (``sweep``). The sweep runs over the
+   counts per length and size, capacity rows at most.
+3. *Conflicts* are resolved by rank: pieces that want the same slot, or one that is taken, move on to the next ones, in the order of their
+   ranks. The place of piece j is j + max(successor(i) - i) over all i up to j. Pieces and slots meet on that place, an equi-join whose
+   keys occur once on each side.
+4. *Update.* Pieces beyond the last slot are the band's longest; they open new sequences, floor(capacity / U) of them to each. What was
+   placed is taken off the gaps, and the next superstep begins.
+
+There are log(capacity) / log(1 / BAND) supersteps, whatever the number of documents (24 for 4,096). All tables of pieces and
+gaps stay distributed; the driver holds the bands.
 
 Cases: null text is the empty text (one piece with the end id alone). Rows that repeat an id are packed
-each; null ids likewise. An empty table gives an empty result. A text of any length is cut whole.
-Columns other than id and text are not read.
+each; null ids likewise. Pieces of equal length are ordered by a hash of id, piece and ids. An empty table gives an empty result.
+A text of any length is cut whole. Columns other than id and text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -29,13 +31,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspan.llm.bestfit import best_fit_decreasing
 from larkspan.ranks import spread_rank
 from larkspan.scratch import materialize
 
+#: The shortest piece of a band over the longest, at least.
+BAND = 0.7
 #: Words whose ids a worker remembers before it starts anew.
 REMEMBERED = 1_000_000
 
@@ -156,43 +159,102 @@ def token_pieces(
     return rows.mapInArrow(run, schema)
 
 
-def place(pieces: DataFrame, plan: list, size_col: str = "length", ranked: str = "rank") -> DataFrame:
-    """Add sequence_id and offset to rows that have their rank within their size.
+def bands(lengths: list[int], ratio: float = BAND) -> list[tuple[int, int]]:
+    """(shortest, longest) of every band, longest first; together they hold all ``lengths``."""
+    out: list[tuple[int, int]] = []
+    for n in sorted(set(lengths), reverse=True):
+        if out and n > ratio * out[-1][1]:
+            out[-1] = (n, out[-1][1])
+        else:
+            out.append((n, n))
+    return out
 
-    plan: the intervals of ``best_fit_decreasing``; the number of sizes bounds them.
-    """
-    span = 1 << 44  # ranks stay below it, and the number of sizes below 2^19
-    arrays = list(np.array(plan, np.int64).reshape(-1, 5).T)
-    shared = pieces.sparkSession.sparkContext.broadcast(arrays)
-    names = [*pieces.columns, "sequence_id", "offset"]
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+def slots_of(gaps: DataFrame, shortest: int, longest: int) -> DataFrame:
+    """(sequence_id, gap) to (sequence_id, slot, size): slots of one sequence hold a piece each, together."""
+    k = F.greatest(F.floor(F.col("gap") / longest), F.lit(1).cast("long"))
+    own = gaps.where(F.col("gap") >= shortest).withColumn("k", k)
+    own = own.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    size = F.when(F.col("slot") < F.col("k") - 1, F.lit(longest)).otherwise(F.col("gap") - (F.col("k") - 1) * longest)
+    return own.select("sequence_id", "slot", size.cast("long").alias("size"))
 
-        length, first, begin, each, offset = shared.value
-        sizes = np.unique(length)
-        keys = np.searchsorted(sizes, length) * span + first
-        for batch in batches:
-            size = batch.column(batch.schema.get_field_index(size_col)).to_numpy()
-            rank = batch.column(batch.schema.get_field_index(ranked)).to_numpy()
-            k = np.searchsorted(keys, np.searchsorted(sizes, size) * span + rank, side="right") - 1
-            i = rank - first[k]
-            yield pa.record_batch(
-                [*batch.columns, pa.array(begin[k] + i // each[k]), pa.array(offset[k] + i % each[k] * size)], names
-            )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return pieces.mapInArrow(run, f"{fields}, sequence_id long, offset long")
+def sweep(slots: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Counts (size, slots) and (size, pieces) to (size, before, shift), one row for every size of either.
+
+    before: slots that are smaller, so the place of the first slot of this size, and of the successor of a piece of this length.
+    shift: what a piece of this length adds to its rank among the band's pieces to get its place.
+    """
+    both = slots.select("size", "slots", F.lit(0).cast("long").alias("pieces")).unionByName(lengths.select("size", F.lit(0).cast("long").alias("slots"), "pieces"))
+    both = both.groupBy("size").agg(F.sum("slots").alias("slots"), F.sum("pieces").alias("pieces"))
+    order = Window.orderBy("size")  # a row per size, capacity at most
+    less = order.rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("before", F.coalesce(F.sum("slots").over(less), F.lit(0)))
+    found = found.withColumn("lead", F.when(F.col("pieces") > 0, F.col("before") - F.coalesce(F.sum("pieces").over(less), F.lit(0))))
+    return found.withColumn("shift", F.max("lead").over(order)).select("size", "before", "shift")
+
+
+def superstep(band: DataFrame, gaps: DataFrame, shortest: int, longest: int, base: int, end: int, capacity: int) -> DataFrame:
+    """The pieces of a band, ranks ``base`` to ``end`` - 1, with sequence_id and slot; without a sequence where they must open one."""
+    slots = slots_of(gaps, shortest, longest)
+    counts = slots.groupBy("size").agg(F.count(F.lit(1)).alias("slots"))
+    lengths = band.groupBy(F.col("length").alias("size")).agg(F.count(F.lit(1)).alias("pieces"))
+    swept = F.broadcast(sweep(counts, lengths))
+    ranked = spread_rank(slots.withColumn("key", F.struct("sequence_id", "slot")), "size", "key", "within", bounded_groups=True)
+    offered = ranked.join(swept, "size").select("sequence_id", "slot", (F.col("before") + F.col("within")).alias("place"))
+    asking = band.join(swept, F.col("length") == F.col("size")).withColumn("place", F.col("rank") - base + F.col("shift"))
+    return asking.drop("size", "before", "shift").join(offered, "place", "left").drop("place")
 
 
 def best_fit_packing(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
-    """Add sequence_id (from 0) and offset to the table of ``token_pieces``."""
+    """Add sequence_id and offset to the table of ``token_pieces``."""
+    columns = pieces.columns
     kept = materialize(pieces, "pieces")
-    counts = {r["length"]: r["n"] for r in kept.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan, _ = best_fit_decreasing(counts, capacity)
+    order = Window.orderBy("length").rowsBetween(Window.unboundedPreceding, -1)  # a row per length
+    lengths = kept.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+    lengths = lengths.select("length", "n", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("shorter"))
+    lengths = materialize(lengths, "lengths")
+    held = {r["length"]: (r["shorter"], r["shorter"] + r["n"]) for r in lengths.collect()}
+    plan = bands(list(held))
     keyed = kept.withColumn("key", F.struct("id", "piece", "ids_crc32"))
-    ranked = spread_rank(keyed, "length", "key", "rank", bounded_groups=True).drop("key")
-    return place(ranked, plan).drop("rank")
+    ranked = spread_rank(keyed, "length", "key", "within", bounded_groups=True).drop("key")
+    ranked = ranked.join(F.broadcast(lengths.select("length", "shorter")), "length").withColumn("rank", F.col("shorter") + F.col("within"))
+    band_of = F.lit(0)
+    for step, (shortest, _) in enumerate(plan):
+        band_of = band_of + (F.col("length") < shortest).cast("int") if step < len(plan) - 1 else band_of
+    ranked = materialize(ranked.select(*columns, "rank", band_of.alias("band")), "ranked", by="band")
+
+    least = min(held, default=0)
+    gaps, placed = None, []
+    for step, (shortest, longest) in enumerate(plan):
+        base, end = held[shortest][0], held[longest][1]
+        band = ranked.where(F.col("band") == step)
+        if gaps is None:
+            asked = band.withColumn("sequence_id", F.lit(None).cast("long")).withColumn("slot", F.lit(None).cast("long"))
+        else:
+            asked = superstep(band, gaps, shortest, longest, base, end, capacity)
+        # Pieces without a sequence are the longest of the band, so their ranks from the top have no holes.
+        top, each = F.lit(end - 1) - F.col("rank"), capacity // longest
+        new = F.col("sequence_id").isNull()
+        found = asked.select(
+            *columns, F.lit(step).alias("step"), new.alias("opens"),
+            F.when(new, F.lit(step << 44) + F.floor(top / each)).otherwise(F.col("sequence_id")).alias("sequence_id"),
+            F.when(new, top % each).otherwise(F.col("slot")).alias("slot"),
+        )
+        found = materialize(found, "placed")
+        placed.append(found)
+        if step < len(plan) - 1:
+            used = found.groupBy("sequence_id").agg((F.when(F.max("opens"), capacity).otherwise(0) - F.sum("length")).alias("gap"))
+            if gaps is not None:
+                used = gaps.unionByName(used).groupBy("sequence_id").agg(F.sum("gap").alias("gap"))
+            gaps = materialize(used.where(F.col("gap") >= least), "gaps")
+    if not placed:
+        return kept.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
+    every = placed[0]
+    for more in placed[1:]:
+        every = every.unionByName(more)
+    own = Window.partitionBy("sequence_id").orderBy("step", "slot").rowsBetween(Window.unboundedPreceding, -1)  # capacity pieces at most
+    return every.select(*columns, "sequence_id", F.coalesce(F.sum("length").over(own), F.lit(0)).cast("long").alias("offset"))
 
 
 def op3_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -133,14 +134,12 @@ def test_packing_round_trip(docs, rows):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got = packing.best_fit_packing(packing.token_pieces(docs, with_ids=True)).collect()
     texts = Counter()
-    whole = defaultdict(list)
     for r in got:
         assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length and r.start == 4096 * r.piece
-        whole[r.id, r.piece].append(r)
     for i, t, _ in rows:
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
-        texts.update((i, k // 4096, len(ids[k : k + 4096])) for k in range(0, len(ids), 4096))
-    assert texts == Counter((r.id, r.piece, r.length) for r in got)
+        texts.update((i, k // 4096, struct.pack(f"<{len(ids[k : k + 4096])}I", *ids[k : k + 4096])) for k in range(0, len(ids), 4096))
+    assert texts == Counter((r.id, r.piece, bytes(r.ids)) for r in got)
     ends = defaultdict(int)
     for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
         assert r.offset == ends[r.sequence_id]
@@ -148,6 +147,44 @@ def test_packing_round_trip(docs, rows):
     assert max(ends.values()) <= 4096
 
 
+def test_sweep_gives_each_piece_the_next_free_slot(spark):
+    rng = random.Random(8)
+    for _ in range(6):
+        sizes, lengths = sorted(rng.randint(3, 12) for _ in range(rng.randint(1, 30))), sorted(rng.randint(3, 12) for _ in range(rng.randint(1, 30)))
+        want, free = [], 0
+        for n in lengths:  # the first slot that holds the piece and comes after all that are taken
+            free = next((i for i in range(free, len(sizes)) if sizes[i] >= n), len(sizes) + free)
+            want.append(free if free < len(sizes) else None)
+            free += 1
+        one = spark.createDataFrame(list(Counter(sizes).items()), "size long, slots long")
+        two = spark.createDataFrame(list(Counter(lengths).items()), "size long, pieces long")
+        found = {r["size"]: r for r in packing.sweep(one, two).collect()}
+        got = [j + found[n].shift for j, n in enumerate(lengths)]
+        assert [p if p < len(sizes) else None for p in got] == want
+        assert all(found[s].before == sum(x < s for x in sizes) for s in sizes)
+
+
+@pytest.mark.parametrize("capacity", [7, 60, 4096])
+def test_supersteps_pack_nearly_as_best_fit_does(spark, capacity):
+    rng = random.Random(capacity)
+    lengths = [min(capacity, 1 + int(rng.expovariate(8 / capacity))) for _ in range(3000)] + [capacity] * 5 + [capacity // 3] * 1000
+    pieces = spark.createDataFrame([(i % 50, i, n, i) for i, n in enumerate(lengths)], "id long, piece int, length long, ids_crc32 long")
+    got = packing.best_fit_packing(pieces, capacity).collect()
+    assert sorted(r.length for r in got) == sorted(lengths)
+    ends = defaultdict(int)
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends[r.sequence_id]
+        ends[r.sequence_id] += r.length
+    assert max(ends.values()) <= capacity and len(ends) <= 1.02 * len(brute_best_fit(lengths, capacity)) + 2
+
+
+def test_bands_and_slots(spark):
+    assert packing.bands([100, 71, 70, 50, 49, 1]) == [(71, 100), (50, 70), (49, 49), (1, 1)]
+    gaps = spark.createDataFrame([(1, 9), (2, 25), (3, 12), (4, 10)], "sequence_id long, gap long")
+    got = sorted(map(tuple, packing.slots_of(gaps, 10, 12).collect()))
+    assert got == [(2, 0, 12), (2, 1, 13), (3, 0, 12), (4, 0, 10)]
+
+
 def brute_best_fit(sizes, capacity):
     rooms = []
     for s in sorted(sizes, reverse=True):
