@@ -328,6 +328,23 @@ def test_near_duplicates(spark, percent):
     same([(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got], [(i, len(sets[i]), find(i), find(i) == i) for i in sets])
 
 
+def test_links_pass_through_rows_without_ids_and_repeated_ids(spark):
+    words = prose(random.Random(12), 200).split(" ")
+    cut = lambda a, b: " ".join(words[a:b])
+    # Similarities: 1 and the null one 0.9, the null one and 2 0.9, 1 and 2 0.81.
+    data = [(1, cut(0, 100)), (None, cut(5, 105)), (2, cut(10, 110)), (3, "quite alone with these words here"), (None, "x y z"), (None, "X  y z"), (None, None)]
+    data += [(7, cut(120, 160)), (7, "another text of the same document"), (8, "another text of the  same document"), (9, cut(120, 160)), (9, cut(120, 160))]
+    docs = table(spark, [(i, t, "s") for i, t in data])
+    got = near_dedup.near_duplicates(docs).collect()
+    same([(r.doc_id, r.component_id, r.kept) for r in got], [
+        (1, 1, True), (None, 1, False), (2, 1, False), (3, 3, True), (None, None, True), (None, None, True), (None, None, True),
+        (7, 7, True), (7, 7, True), (8, 7, False), (9, 7, False), (9, 7, False),
+    ])
+    kept = near_dedup.without_near_duplicates(docs, 85)
+    assert kept.columns == docs.columns
+    same([(r.doc_id, r.text) for r in kept.collect()], [(i, t) for i, t in data if i in (1, 3, 7) or (i is None and t != cut(5, 105))])
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(200 + k, 201 + k) for k in range(30)]
