@@ -6,9 +6,10 @@ Bands of lengths are packed from the longest to the shortest; the pieces of a ba
 as its longest, U. A superstep packs a band:
 
 1. *Gaps.* A sequence with room g, if the band's shortest piece fits, offers floor(g / U) slots (one at least): all of size U but the
-   last, which has the rest. Slots are range-sorted by size as pieces are by length.
+   last, which has the rest. Slots are range-sorted by size as pieces are by length; a slot's place is the number of smaller ones and its rank
+   among its equals, from the counts per gap and the sequence's rank among those of the same gap.
 2. *Successor sweep.* The successor of a piece is the first slot in that order which holds it (``sweep``). The sweep runs over the
-   counts per length and size, capacity rows at most.
+   counts per length and gap, three rows for every size up to the capacity.
 3. *Conflicts* are resolved by rank: pieces that want the same slot, or one that is taken, move on to the next ones, in the order of their
    ranks. The place of piece j is j + max(successor(i) - i) over all i up to j. Pieces and slots meet on that place, an equi-join whose
    keys occur once on each side.
@@ -34,11 +35,16 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspan.functions.columns import small
 from larkspan.ranks import spread_rank
 from larkspan.scratch import materialize
 
 #: The shortest piece of a band over the longest, at least.
 BAND = 0.7
+#: Pieces that one task writes; by the known counts, small bands and gaps are written by few tasks.
+PIECES_A_TASK = 200_000
+#: Rows of counts or slots that may be broadcast.
+BROADCAST = 1_000_000
 #: Words whose ids a worker remembers before it starts anew.
 REMEMBERED = 1_000_000
 
@@ -170,40 +176,64 @@ def bands(lengths: list[int], ratio: float = BAND) -> list[tuple[int, int]]:
     return out
 
 
-def slots_of(gaps: DataFrame, shortest: int, longest: int) -> DataFrame:
-    """(sequence_id, gap) to (sequence_id, slot, size): slots of one sequence hold a piece each, together."""
-    k = F.greatest(F.floor(F.col("gap") / longest), F.lit(1).cast("long"))
-    own = gaps.where(F.col("gap") >= shortest).withColumn("k", k)
-    own = own.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    size = F.when(F.col("slot") < F.col("k") - 1, F.lit(longest)).otherwise(F.col("gap") - (F.col("k") - 1) * longest)
-    return own.select("sequence_id", "slot", size.cast("long").alias("size"))
+def numbered(gaps: DataFrame, tasks: int) -> DataFrame:
+    """(sequence_id, gap) written by ``tasks`` tasks, with part (the task) and nth: the rows of equal gap before a row in its part."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, seen = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            gap = batch.column(1).to_numpy()
+            order = np.argsort(gap, kind="stable")
+            values, first, n = np.unique(gap[order], return_index=True, return_counts=True)
+            base = np.array([seen.get(v, 0) for v in values.tolist()], np.int64)
+            nth = np.empty(len(gap), np.int64)
+            nth[order] = np.arange(len(gap)) - np.repeat(first, n) + np.repeat(base, n)
+            seen.update(zip(values.tolist(), (base + n).tolist(), strict=True))
+            yield pa.record_batch([*batch.columns, pa.array([part] * len(gap), pa.int32()), pa.array(nth)], ["sequence_id", "gap", "part", "nth"])
+
+    return materialize(gaps.select("sequence_id", "gap").coalesce(tasks).mapInArrow(run, "sequence_id long, gap long, part int, nth long"), "gaps")
 
 
 def sweep(slots: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Counts (size, slots) and (size, pieces) to (size, before, shift), one row for every size of either.
+    """Counts (size, gap, last, slots) and (size, pieces) to (size, gap, last, before, shift): a row for every row of either.
 
-    before: slots that are smaller, so the place of the first slot of this size, and of the successor of a piece of this length.
+    before: the slots that are smaller, or equal and come first; so the place of a row's first slot, and of a length's successor.
     shift: what a piece of this length adds to its rank among the band's pieces to get its place.
     """
-    both = slots.select("size", "slots", F.lit(0).cast("long").alias("pieces")).unionByName(lengths.select("size", F.lit(0).cast("long").alias("slots"), "pieces"))
-    both = both.groupBy("size").agg(F.sum("slots").alias("slots"), F.sum("pieces").alias("pieces"))
-    order = Window.orderBy("size")  # a row per size, capacity at most
+    none = F.lit(0).cast("long")
+    asked = lengths.select("size", F.lit(-1).cast("long").alias("gap"), F.lit(False).alias("last"), none.alias("slots"), "pieces")
+    both = slots.select("size", "gap", "last", "slots", none.alias("pieces")).unionByName(asked).coalesce(1)
+    order = Window.orderBy("size", "gap", "last")  # three rows for every size up to the capacity
     less = order.rowsBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("before", F.coalesce(F.sum("slots").over(less), F.lit(0)))
-    found = found.withColumn("lead", F.when(F.col("pieces") > 0, F.col("before") - F.coalesce(F.sum("pieces").over(less), F.lit(0))))
-    return found.withColumn("shift", F.max("lead").over(order)).select("size", "before", "shift")
+    found = found.withColumn("lead", F.when(F.col("gap") < 0, F.col("before") - F.coalesce(F.sum("pieces").over(less), F.lit(0))))
+    return found.withColumn("shift", F.max("lead").over(order)).select("size", "gap", "last", "before", "shift")
 
 
-def superstep(band: DataFrame, gaps: DataFrame, shortest: int, longest: int, base: int, end: int, capacity: int) -> DataFrame:
-    """The pieces of a band, ranks ``base`` to ``end`` - 1, with sequence_id and slot; without a sequence where they must open one."""
-    slots = slots_of(gaps, shortest, longest)
-    counts = slots.groupBy("size").agg(F.count(F.lit(1)).alias("slots"))
-    lengths = band.groupBy(F.col("length").alias("size")).agg(F.count(F.lit(1)).alias("pieces"))
-    swept = F.broadcast(sweep(counts, lengths))
-    ranked = spread_rank(slots.withColumn("key", F.struct("sequence_id", "slot")), "size", "key", "within", bounded_groups=True)
-    offered = ranked.join(swept, "size").select("sequence_id", "slot", (F.col("before") + F.col("within")).alias("place"))
-    asking = band.join(swept, F.col("length") == F.col("size")).withColumn("place", F.col("rank") - base + F.col("shift"))
-    return asking.drop("size", "before", "shift").join(offered, "place", "left").drop("place")
+def offers(gaps: DataFrame, shortest: int, longest: int, lengths: DataFrame, tasks: int = 1, capacity: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """``numbered`` gaps and the band's (size, pieces) to (slots, shifts): slots (sequence_id, slot, size, place), shifts (size, shift)."""
+    open_gaps = gaps.where(F.col("gap") >= shortest)
+    cells = open_gaps.groupBy("gap", "part").agg(F.count(F.lit(1)).alias("n")).coalesce(tasks)
+    earlier = Window.partitionBy("gap").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+    bases = cells.select("gap", "part", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")).coalesce(tasks)
+    k = F.greatest(F.floor(F.col("gap") / longest), F.lit(1).cast("long"))
+    per_gap = cells.groupBy("gap").agg(F.sum("n").alias("n")).coalesce(1).withColumn("k", k).withColumn("rest", F.col("gap") - (F.col("k") - 1) * longest)
+    inner = per_gap.where("k > 1").select(F.lit(longest).cast("long").alias("size"), "gap", F.lit(False).alias("last"), (F.col("n") * (F.col("k") - 1)).alias("slots"))
+    ends = per_gap.select(F.col("rest").alias("size"), "gap", F.lit(True).alias("last"), F.col("n").alias("slots"))
+    swept = materialize(sweep(inner.unionByName(ends), lengths), "swept")
+    firsts = swept.where("gap >= 0").groupBy("gap").agg(F.max(F.when(~F.col("last"), F.col("before"))).alias("inner"), F.max(F.when(F.col("last"), F.col("before"))).alias("end"))
+    bases = bases.select("gap", "part", "base")
+    if tasks * capacity <= BROADCAST:
+        bases = F.broadcast(bases)
+    own = open_gaps.join(bases, ["gap", "part"]).join(F.broadcast(firsts.coalesce(1)), "gap").withColumn("k", k).withColumn("nth", F.col("nth") + F.col("base"))
+    own = own.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    ending = F.col("slot") == F.col("k") - 1
+    place = F.when(ending, F.col("end") + F.col("nth")).otherwise(F.col("inner") + F.col("nth") * (F.col("k") - 1) + F.col("slot"))
+    size = F.when(ending, F.col("gap") - F.col("slot") * longest).otherwise(F.lit(longest))
+    return own.select("sequence_id", "slot", size.cast("long").alias("size"), place.alias("place")), swept.where("gap < 0").select("size", "shift")
 
 
 def best_fit_packing(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
@@ -224,15 +254,23 @@ def best_fit_packing(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
         band_of = band_of + (F.col("length") < shortest).cast("int") if step < len(plan) - 1 else band_of
     ranked = materialize(ranked.select(*columns, "rank", band_of.alias("band")), "ranked", by="band")
 
-    least = min(held, default=0)
+    least, total = min(held, default=0), max((end for _, end in held.values()), default=0)
     gaps, placed = None, []
     for step, (shortest, longest) in enumerate(plan):
         base, end = held[shortest][0], held[longest][1]
         band = ranked.where(F.col("band") == step)
+        tasks = 1 + held[longest][1] // PIECES_A_TASK - base // PIECES_A_TASK
+        all_tasks = 1 + (total - base) // PIECES_A_TASK
         if gaps is None:
             asked = band.withColumn("sequence_id", F.lit(None).cast("long")).withColumn("slot", F.lit(None).cast("long"))
         else:
-            asked = superstep(band, gaps, shortest, longest, base, end, capacity)
+            own = lengths.where(F.col("length").between(shortest, longest)).select(F.col("length").alias("size"), F.col("n").alias("pieces"))
+            slots, shifts = offers(gaps, shortest, longest, own, all_tasks, capacity)
+            slots = slots.select("sequence_id", "slot", "place")
+            if all_tasks * PIECES_A_TASK <= BROADCAST:  # no more sequences than pieces, each with as many slots as the band's pieces fit at most
+                slots = small(slots, BROADCAST)
+            asked = band.join(F.broadcast(shifts), F.col("length") == F.col("size")).withColumn("place", F.col("rank") - base + F.col("shift"))
+            asked = asked.drop("size", "shift").join(slots, "place", "left")
         # Pieces without a sequence are the longest of the band, so their ranks from the top have no holes.
         top, each = F.lit(end - 1) - F.col("rank"), capacity // longest
         new = F.col("sequence_id").isNull()
@@ -241,13 +279,13 @@ def best_fit_packing(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
             F.when(new, F.lit(step << 44) + F.floor(top / each)).otherwise(F.col("sequence_id")).alias("sequence_id"),
             F.when(new, top % each).otherwise(F.col("slot")).alias("slot"),
         )
-        found = materialize(found, "placed")
+        found = materialize(found.coalesce(tasks), "placed")
         placed.append(found)
         if step < len(plan) - 1:
             used = found.groupBy("sequence_id").agg((F.when(F.max("opens"), capacity).otherwise(0) - F.sum("length")).alias("gap"))
             if gaps is not None:
-                used = gaps.unionByName(used).groupBy("sequence_id").agg(F.sum("gap").alias("gap"))
-            gaps = materialize(used.where(F.col("gap") >= least), "gaps")
+                used = gaps.select("sequence_id", "gap").unionByName(used).groupBy("sequence_id").agg(F.sum("gap").alias("gap"))
+            gaps = numbered(used.where(F.col("gap") >= least), all_tasks)
     if not placed:
         return kept.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
     every = placed[0]

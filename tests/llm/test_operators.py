@@ -156,15 +156,16 @@ def test_sweep_gives_each_piece_the_next_free_slot(spark):
             free = next((i for i in range(free, len(sizes)) if sizes[i] >= n), len(sizes) + free)
             want.append(free if free < len(sizes) else None)
             free += 1
-        one = spark.createDataFrame(list(Counter(sizes).items()), "size long, slots long")
+        one = spark.createDataFrame([(s, 20, True, n) for s, n in Counter(sizes).items()], "size long, gap long, last boolean, slots long")
         two = spark.createDataFrame(list(Counter(lengths).items()), "size long, pieces long")
-        found = {r["size"]: r for r in packing.sweep(one, two).collect()}
+        rows = packing.sweep(one, two).collect()
+        found = {r["size"]: r for r in rows if r.gap < 0}
         got = [j + found[n].shift for j, n in enumerate(lengths)]
         assert [p if p < len(sizes) else None for p in got] == want
-        assert all(found[s].before == sum(x < s for x in sizes) for s in sizes)
+        assert all(r.before == sum(x < r["size"] for x in sizes) for r in rows)
 
 
-@pytest.mark.parametrize("capacity", [7, 60, 4096])
+@pytest.mark.parametrize("capacity", [7, 4096])
 def test_supersteps_pack_nearly_as_best_fit_does(spark, capacity):
     rng = random.Random(capacity)
     lengths = [min(capacity, 1 + int(rng.expovariate(8 / capacity))) for _ in range(3000)] + [capacity] * 5 + [capacity // 3] * 1000
@@ -180,9 +181,20 @@ def test_supersteps_pack_nearly_as_best_fit_does(spark, capacity):
 
 def test_bands_and_slots(spark):
     assert packing.bands([100, 71, 70, 50, 49, 1]) == [(71, 100), (50, 70), (49, 49), (1, 1)]
-    gaps = spark.createDataFrame([(1, 9), (2, 25), (3, 12), (4, 10)], "sequence_id long, gap long")
-    got = sorted(map(tuple, packing.slots_of(gaps, 10, 12).collect()))
-    assert got == [(2, 0, 12), (2, 1, 13), (3, 0, 12), (4, 0, 10)]
+    rng = random.Random(6)
+    rooms = [(i, rng.randint(1, 40)) for i in range(300)]
+    gaps = packing.numbered(spark.createDataFrame(rooms, "sequence_id long, gap long").repartition(3), 3)
+    assert gaps.select("part").distinct().count() == 3
+    for shortest, longest in ((10, 12), (3, 4), (41, 50)):
+        slots, _ = packing.offers(gaps, shortest, longest, spark.createDataFrame([(longest, 1)], "size long, pieces long"), 3)
+        got = slots.orderBy("place").collect()
+        want = Counter()
+        for i, g in rooms:
+            if g >= shortest:
+                k = max(1, g // longest)
+                want.update([(i, longest)] * (k - 1) + [(i, g - (k - 1) * longest)])
+        assert Counter((r.sequence_id, r["size"]) for r in got) == want
+        assert [r.place for r in got] == list(range(len(got))) and [r["size"] for r in got] == sorted(r["size"] for r in got)
 
 
 def brute_best_fit(sizes, capacity):
