@@ -1,17 +1,20 @@
-"""Personal data: base patterns, then identifiers found by bootstrapped contexts.
+"""Personal data and secrets: base patterns, then identifiers found by bootstrapped contexts.
 
 Base. Four patterns (email, ip, card, phone), leftmost and non-overlapping per kind, each match then checked
 (parts of an address, digits and Luhn sum of a card, digits of a phone number). Splitting a text at a
 pattern gives the gaps between its matches, and so their places, without leaving the JVM.
 
-Bootstrapping. Seeds are the base matches. The two words before a match, however far back in the text, are its
+Bootstrapping. Seeds are the base matches, and words of a repeated high-entropy shape: LONG letters and digits in a row or more, both among
+them, of ENTROPY bits a character at least, if words of MIN_SUPPORT different values have the same length and character class (``secret``
+spans: keys and tokens, however they are introduced). The two words before a match, however far back in the text, are its
 lexical pattern; words of identifiers (with a digit, or part of a match) are all the same placeholder there. Words that
 hold a digit and lie outside all base matches are candidate identifiers. Patterns and instances form a
 bipartite graph that Spark scores in rounds: a pattern's confidence is the summed score of its instances over their number
 (seeds score 1), if seeds or accepted instances of MIN_SUPPORT different values stand behind it;
 an instance's score is 1 - prod(1 - confidence) over its patterns, and instances above ACCEPT count as known in
 the next round. Scores never fall, and rounds go on until none is accepted and no score rises. Candidates whose final
-score passes ACCEPT are new spans of kind ``context``. Base spans are never changed.
+score passes ACCEPT are new spans of kind ``context``. Base spans are never changed. So one known token teaches the words that
+introduce it, and those teach the next identifier, whatever it looks like.
 
 Patterns start at the beginning of a run of their first class and give nothing back where that cannot
 change a match, so matching takes time in proportion to the text, and no match recurses. Only DataFrame
@@ -27,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspan.functions.columns import let
+from larkspan.functions.columns import let, small
 from larkspan.llm.common import SPACE_CLASS
 from larkspan.scratch import materialize
 
@@ -39,13 +42,15 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-KINDS = [*PATTERNS, "context"]
+KINDS = [*PATTERNS, "context", "secret"]
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 #: Stands for every identifier in a pattern. No word has a tab.
 IDENTIFIER = "\t"
 #: Rounds end when no score rises by more than this.
 SETTLED = 1e-6
 MIN_SUPPORT = 3
+LONG = 20
+ENTROPY = 3.0
 ACCEPT = 0.7
 
 
@@ -108,7 +113,7 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     )
     hits = materialize(hits, "hits")
     each = hits.select(
-        "row", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("found")) for k in KINDS])).alias("x")
+        "row", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("found")) for k in patterns])).alias("x")
     ).select("row", "x.kind", F.posexplode("x.found").alias("i", "y"))
     own = Window.partitionBy("row", "kind").orderBy("i")
     before = own.rowsBetween(Window.unboundedPreceding, -1)
@@ -124,8 +129,29 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     return hits.select("row", "id"), spans.where(_valid(F.col("kind"), F.col("hit")))
 
 
+def _core(hit: Column) -> Column:
+    """The first long run of letters and digits that holds both, null without one."""
+    run = F.regexp_extract(hit, f"[A-Za-z0-9]{{{LONG},}}", 0)
+    return F.when(run.rlike("[0-9]") & run.rlike("[A-Za-z]"), run)
+
+
+def _entropy(word: Column) -> Column:
+    """Bits a character, by the word's own characters."""
+    def of(chars: Column) -> Column:
+        share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.size(chars)
+        return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a - let(share(c), lambda p: p * F.log2(p)))
+
+    return let(F.filter(F.split(word, ""), lambda x: x != ""), of)
+
+
+def _shape(core: Column) -> Column:
+    """Length and character class of a high-entropy run; null for others."""
+    kind = F.when(core.rlike("^[0-9a-f]*$"), "hex").when(core.rlike("^[0-9A-F]*$"), "HEX").otherwise("alnum")
+    return F.when(core.isNotNull() & (_entropy(core) >= ENTROPY), F.concat_ws(":", kind, F.length(core)))
+
+
 def _discovered(spans: DataFrame) -> DataFrame:
-    """Candidate spans (row, kind, start, end) that the graph accepts."""
+    """Spans (row, kind, start, end) of the candidates that have a seed's shape or that the graph accepts."""
     own = Window.partitionBy("row")
     base = F.col("kind") != "context"
     earlier = own.orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
@@ -135,11 +161,16 @@ def _discovered(spans: DataFrame) -> DataFrame:
     begins = F.min(F.when(base, F.col("start"))).over(later)
     marked = spans.withColumn("ends", ends).withColumn("begins", begins)
     free = base | ((F.coalesce("ends", F.lit(0)) <= F.col("start")) & (F.col("begins").isNull() | (F.col("begins") >= F.col("end"))))
-    marked = marked.where(free).withColumn("pattern", _context(F.col("two"))).where("pattern is not null")
-    marked = materialize(marked.select("row", "kind", "start", "end", "hit", "pattern"), "marked")
+    marked = marked.where(free).withColumn("pattern", _context(F.col("two"))).withColumn("core", F.when(~base, _core(F.col("hit"))))
+    marked = marked.withColumn("shape", F.when(F.col("core").isNotNull(), _shape(F.col("core")))).where("pattern is not null or shape is not null")
+    marked = materialize(marked.select("row", "kind", "start", "end", "hit", "pattern", "core", "shape"), "marked")
+
+    shapes = marked.where("shape is not null").select("shape", "core").distinct().groupBy("shape").agg(F.count(F.lit(1)).alias("m"))
+    shapes = materialize(shapes.where(F.col("m") >= MIN_SUPPORT).select("shape", F.lit(True).alias("secret")), "shapes")
+    marked = marked.join(small(shapes), "shape", "left").withColumn("secret", F.coalesce("secret", F.lit(False)))
 
-    seed = (F.max(F.when(base, 1.0).otherwise(0.0))).alias("seed")
-    edges = materialize(marked.groupBy("pattern", "hit").agg(seed), "graph")
+    seed = (F.max(F.when(base | F.col("secret"), 1.0).otherwise(0.0))).alias("seed")
+    edges = materialize(marked.where("pattern is not null").groupBy("pattern", "hit").agg(seed), "graph")
     known = edges.select("pattern", "hit", F.col("seed").alias("score"))
     while True:
         patterns = known.groupBy("pattern").agg(
@@ -156,11 +187,14 @@ def _discovered(spans: DataFrame) -> DataFrame:
         if not known.agg(F.max(new | (F.col("score") - F.col("was") > SETTLED))).first()[0]:
             break
     accepted = known.where(F.col("score") >= ACCEPT).select("hit").distinct()
-    return marked.where("kind = 'context'").join(accepted, "hit", "left_semi").select("row", "kind", "start", "end")
+    found = marked.where("kind = 'context' and not secret").join(accepted, "hit", "left_semi").select("row", "kind", "start", "end")
+    at = F.col("start") + F.instr("hit", F.col("core")) - 1
+    secrets = marked.where("secret").select("row", F.lit("secret").alias("kind"), at.alias("start"), (at + F.length("core")).alias("end"))
+    return found.unionByName(secrets)
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: (id, n_email, n_ip, n_card, n_phone, n_context, base, all).
+    """One row per document: (id, n_email, n_ip, n_card, n_phone, n_context, n_secret, base, all).
 
     base and all: arrays of (start, k, kind, end) ordered by start and kind; places are code points, end exclusive.
     """
@@ -176,7 +210,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     every = F.coalesce("all", F.array().cast("array<struct<start:bigint,k:bigint,kind:string,end:bigint>>"))
     return out.select(
         F.col("id").alias(id_col), *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS],
-        F.filter(every, lambda x: x["kind"] != "context").alias("base"), every.alias("all"),
+        F.filter(every, lambda x: ~x["kind"].isin("context", "secret")).alias("base"), every.alias("all"),
     )
 
 
@@ -191,5 +225,6 @@ def op2_personal_data(spark, sf_dir: str) -> DataFrame:
     out = personal_data(load(spark, sf_dir, "documents"))
     return out.select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone",
-        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"), "n_context",
+        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"), "n_context", "n_secret",
+        F.size("all").cast("long").alias("n_spans"),
     )

@@ -551,6 +551,16 @@ def test_contexts_go_on_until_nothing_is_accepted(spark):
     assert contexts(spark, list(enumerate(texts))) == {f"v{k}q{j}" for k in range(7) for j in range(3)}
 
 
+def test_repeated_shapes_of_high_entropy_are_seeds(spark):
+    rng = random.Random(21)
+    tokens = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(5)]
+    data = [(i, f'some words then token = "{t}" and more') for i, t in enumerate(tokens)]
+    data += [(10, "set token = pa55 here"), (11, "x " + "a1" * 20 + " y"), (12, "the only one of its kind: q8w7e6r5t4y3u2i1o0p9a"), (13, "chapter 12 of internationalisation2")]
+    out = {r.doc_id: [(x.kind, x.start, x.end) for x in r.all] for r in pii.personal_data(table(spark, [(i, t, "s") for i, t in data])).collect()}
+    assert all(out[i] == [("secret", 25, 65)] for i in range(5))
+    assert out[10] == [("context", 12, 16)] and not out[11] and not out[12] and not out[13]
+
+
 def brute_segments(scores):
     """Maximal scoring segments by their recursive definition."""
     if not scores or max(scores) <= 0:
