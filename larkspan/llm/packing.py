@@ -44,7 +44,7 @@ BAND = 0.7
 #: Pieces that one task writes; by the known counts, small bands and gaps are written by few tasks.
 PIECES_A_TASK = 200_000
 #: Rows of counts or slots that may be broadcast.
-BROADCAST = 1_000_000
+BROADCAST = 50_000
 #: Words whose ids a worker remembers before it starts anew.
 REMEMBERED = 1_000_000
 
