@@ -1,6 +1,7 @@
 """Every operator against brute force on a small table with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -581,6 +582,50 @@ def test_segments_are_the_maximal_ones():
         assert got == want
 
 
+def test_negative_scores_part_segments():
+    scanner = toxicity.Scanner({"bad": (1.0, 1.0), "kind": (-2.0, -2.0), "ki*": (0.5, 0.5)})
+    assert [x[1:] for x in scanner.segments("bad fine bad kind bad")[1]] == [(0, 3), (4, 5)]
+    assert [x[1:] for x in scanner.segments("bad fine bad kit bad")[1]] == [(0, 5)]
+
+
+def test_log_odds_of_every_feature(spark):
+    texts = [(f"foul word{i}", 1) for i in range(20)] + [(f"mild word{i}", 0) for i in range(20, 120)] + [("mild word500", 1), ("mild word500", 0)]
+    rows = spark.createDataFrame([(t, y, 0) for t, y in texts], "text string, toxic int, fold int")
+    none, got, *_ = toxicity.lexicons(rows)
+    assert none == {}  # without the one fold that has rows
+    share, odds = 21 / 121, math.log((21 / 121) / (100 / 121))
+
+    def want(y1, y0):
+        a, b = y1 + share, y0 + 1 - share
+        ratio, error = math.log(a / b) - odds, 2 * math.sqrt(1 / a + 1 / b)
+        return pytest.approx((math.copysign(abs(ratio) - error, ratio), ratio))
+
+    assert got["foul"] == want(20, 0) and got["foul"][0] > 1
+    assert got["mild"] == want(1, 100) and got["mild"][0] < 0
+    assert "word7" not in got and "word*" not in got
+
+
+def test_gumbel_by_maximum_likelihood():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n = rng.integers(20, 2000, 20_000)
+    x = 0.4 + (np.log(n) - np.log(-np.log(rng.random(len(n))))) / 1.7 - 4
+    rate, shift = toxicity.gumbel(n, np.maximum(x, 0))
+    assert (x < 0).mean() > 0.2 and rate == pytest.approx(1.7, rel=0.03) and shift == pytest.approx(-3.6, abs=0.1)
+    assert toxicity.gumbel([], [])[0] == 1.0
+    model = toxicity.Model({"bad": (9.0, 9.0)}, 1.0, 0.0)
+    score, passages = model.judge("bad " + "fine " * 9)
+    assert passages == [(0, 1, pytest.approx(9 - math.log(10)))] and toxicity.LEVEL < 1 and model.judge("fine bad " + "fine " * 600)[1] == []
+
+
+def test_conflicting_labels_and_repeated_rows(spark):
+    rows = [(i, f"vile{'abcde'[i % 5]}x talk" if i % 2 else "plain talk", "s") for i in range(60)] + [(1, "plain talk", "s")] * 3
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(i, 0) for i in range(0, 60, 3)], "doc_id long, toxic int")
+    one, two = (toxicity.train(table(spark, x), labels) for x in (rows, rows[::-1]))
+    assert one.scanner.lexicon == two.scanner.lexicon and one.curve == pytest.approx(two.curve)
+
+
 def test_toxicity_finds_held_out_rows(spark):
     rng = random.Random(9)
     data = []
