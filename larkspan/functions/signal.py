@@ -38,10 +38,12 @@ def smooth(x: np.ndarray, sigmas: tuple[float, float]) -> np.ndarray:
 
 
 def saliency(band: np.ndarray, c: Landmarks = Landmarks()) -> np.ndarray:
-    """Local contrast over local energy, with a little of the level itself, within -12 and 12."""
-    contrast = smooth(band, c.fine) - smooth(band, c.background)
+    """Local contrast over local energy, with a little of the level itself, within -12 and 12. The finely smoothed band takes the
+    place of the band throughout: as the level, and under the background."""
+    level = smooth(band, c.fine)
+    contrast = level - smooth(level, c.background)
     energy = smooth(contrast**2, c.normalization)
-    score = c.contrast_weight * contrast / np.sqrt(energy + c.contrast_floor**2) + c.magnitude_weight * np.maximum(band - c.magnitude_threshold, 0)
+    score = c.contrast_weight * contrast / np.sqrt(energy + c.contrast_floor**2) + c.magnitude_weight * np.maximum(level - c.magnitude_threshold, 0)
     return np.clip(score, -12, 12)
 
 
@@ -68,13 +70,19 @@ def peaks(field: np.ndarray, radius_f: int, radius_t: int) -> list[tuple[int, in
     return sorted(out)
 
 
+#: Added to both energies, so that silence has the ratio 1.
+QUIET = 0.25
+
+
 def energy_rates(field: np.ndarray, seconds_per_frame: float, c: Landmarks = Landmarks()) -> np.ndarray:
-    """Landmarks per second allowed at every frame: rate * (local over background energy) ^ exponent within bounds."""
-    top = max(1, field.shape[0] // 20)
-    level = np.sort(np.maximum(field, 0), axis=0)[-top:].mean(axis=0)[None, :]
-    near = gaussian(level, max(c.window_seconds / seconds_per_frame / 2, 0.5), 1)[0]
-    far = gaussian(level, max(c.background_seconds / seconds_per_frame / 2, 0.5), 1)[0]
-    return np.clip(c.rate * (near / np.maximum(far, 1e-9)) ** c.exponent, c.min_rate, c.max_rate)
+    """Landmarks per second allowed at every frame: rate * (local over background energy) ^ exponent within bounds. A smoothing's deviation is
+    a quarter of its seconds, one frame at least, and the background's is no less than the local one."""
+    strongest = -np.sort(-np.maximum(field, 0), axis=0)[: max(1, field.shape[0] // 20)]
+    energy = strongest.mean(axis=0)[None, :]
+    local = max(1.0, c.window_seconds / seconds_per_frame / 4)
+    near = gaussian(energy, local, 1)[0]
+    far = gaussian(energy, max(local, c.background_seconds / seconds_per_frame / 4), 1)[0]
+    return np.clip(c.rate * ((near + QUIET) / (far + QUIET)) ** c.exponent, c.min_rate, c.max_rate)
 
 
 def landmarks(samples: np.ndarray, config: Config = Config(), shift: int = 0, magnitude: bool = False) -> list[tuple[int, int, float]]:

@@ -5,25 +5,33 @@ A track is one recording or one user's history: the unit that the state belongs
 
 from __future__ import annotations
 
-import bisect
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from larkspan.config import Triangles
+from larkspan.operators import geometry
 
 
 def select_dense(points: list[tuple[int, int, float]], capacity, window: float) -> list[tuple[int, int, float]]:
-    """Candidates (f, t, score) that pass, best first: in no window that holds the candidate may ``capacity(t)`` others have been selected."""
-    taken: list[int] = []
-    out = []
-    for f, t, score in sorted(points, key=lambda p: (-p[2], p[1], p[0])):
-        first = bisect.bisect_left(taken, t - window)
-        starts = {*taken[first : bisect.bisect_right(taken, t)], t}
-        if all(bisect.bisect_right(taken, s + window) - bisect.bisect_left(taken, s) < capacity(t) for s in starts):
-            bisect.insort(taken, t)
-            out.append((f, t, score))
-    return out
+    """Candidates (f, t, score) that pass, best first: in no window that holds the candidate may ``capacity(t)`` others have been selected.
+
+    Times are whole frames, so a window is known by its first frame. ``load`` holds, for every window, how many selected points lie in it.
+    """
+    if not points:
+        return []
+    f, t, score = (np.array(c) for c in zip(*points, strict=True))
+    reach = int(window)  # a frame lies in the windows that begin up to ``reach`` frames before it
+    load = np.zeros(int(t.max() - t.min()) + reach + 1, np.int64)
+    at = t - t.min()
+    kept = []
+    for k in np.lexsort((f, t, -score)):
+        windows = load[at[k] : at[k] + reach + 1]
+        if windows.max() < capacity(t[k]):
+            windows += 1
+            kept.append(points[k])
+    return kept
 
 
 def density_selection(landmarks: DataFrame, rate: float, window: float) -> DataFrame:
@@ -40,49 +48,26 @@ def density_selection(landmarks: DataFrame, rate: float, window: float) -> DataF
     return landmarks.select("track", "f", "t", "score").groupBy("track").applyInPandas(run, "track long, f int, t int, score double")
 
 
-def triangle_ok(a, b, c, t: Triangles) -> bool:
-    """The triangle rules on (f, t) points, in lattice units."""
-    span = max(a[1], b[1], c[1]) - min(a[1], b[1], c[1])
-    cross = 35 * abs((b[1] - a[1]) * (c[0] - a[0]) - (c[1] - a[1]) * (b[0] - a[0]))
-    e = [25 * (p[1] - q[1]) ** 2 + 49 * (p[0] - q[0]) ** 2 for p, q in ((a, b), (a, c), (b, c))]
-    return (
-        t.min_span <= span <= t.max_span and cross >= 2 * t.min_area * 4900 and max(e) <= (t.max_edge * 70) ** 2
-        and e[0] * e[1] * e[2] <= (cross * 2 * t.max_radius * 70) ** 2
-    )
-
-
-def region_triples(points: list[tuple[int, int]], budget: int, t: Triangles = Triangles(), dt: int = 12, df: int = 128) -> list[tuple[int, int, int]]:
-    """Triples of points in (t, f) order whose steps lie in the target region; every point may be used ``budget`` times."""
-    used = [0] * len(points)
-    step = lambda p, q: 1 <= q[1] - p[1] <= dt and 1 <= abs(q[0] - p[0]) <= df
-    out = []
-    for i, a in enumerate(points):
-        for j in range(i + 1, len(points)):
-            b = points[j]
-            if used[i] >= budget or b[1] - a[1] > dt:
-                break
-            if used[j] >= budget or not step(a, b):
-                continue
-            for k in range(j + 1, len(points)):
-                c = points[k]
-                if used[i] >= budget or used[j] >= budget or c[1] - b[1] > dt:
-                    break
-                if used[k] >= budget or not step(b, c) or not triangle_ok(a, b, c, t):
-                    continue
-                for x in (i, j, k):
-                    used[x] += 1
-                out.append((i, j, k))
-    return out
-
-
-def target_region(points: DataFrame, budget: int) -> DataFrame:
-    """(track, i1, i2, i3) for every track."""
+def within_budget(triples: np.ndarray, budget: int) -> np.ndarray:
+    """Which rows (i1, i2, i3) pass in lexicographic order, if every point may be used ``budget`` times."""
+    left = np.full(int(triples.max(initial=-1)) + 1, budget, np.int64)
+    passed = np.zeros(len(triples), bool)
+    for row in np.lexsort(triples.T[::-1]):
+        own = triples[row]
+        if left[own].all():
+            left[own] -= 1
+            passed[row] = True
+    return passed
+
+
+def target_region(points: DataFrame, budget: int, t: Triangles = Triangles(), frames: int = 12, bins: int = 128) -> DataFrame:
+    """(track, i1, i2, i3): valid triangles of two steps of 1 to ``frames`` frames and 1 to ``bins`` bins each, in index order as far as the
+    points' budgets go. The steps and triangles are joins; only the budget looks at a track as a whole."""
+    steps = geometry.time_pairs(points, 1, frames).where(F.abs(F.col("f2") - F.col("f1")).between(1, bins))
+    second = steps.select("track", F.col("i1").alias("i2"), F.col("i2").alias("i3"), F.col("f2").alias("f3"), F.col("t2").alias("t3"))
+    found = geometry.measured(steps.join(second, ["track", "i2"])).where(geometry.valid(t))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("i")
-        found = region_triples(list(zip(rows["f"].tolist(), rows["t"].tolist(), strict=True)), budget)
-        out = pd.DataFrame(found, columns=["i1", "i2", "i3"], dtype="int32")
-        out.insert(0, "track", rows["track"].iloc[0])
-        return out
+        return rows[within_budget(rows[["i1", "i2", "i3"]].to_numpy(np.int64), budget)]
 
-    return points.select("track", "i", "f", "t").groupBy("track").applyInPandas(run, "track long, i1 int, i2 int, i3 int")
+    return found.select("track", "i1", "i2", "i3").groupBy("track").applyInPandas(run, "track long, i1 int, i2 int, i3 int")

@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 
 import numpy as np
@@ -7,8 +9,9 @@ from pyspark.sql import functions as F
 from larkspan.config import DEFAULT, Matching
 from larkspan.functions import columns as C
 from larkspan.functions.delaunay import triangulate
-from larkspan.functions.signal import gaussian, landmarks, peaks, saliency, spectrogram
-from larkspan.operators.greedy import region_triples, select_dense, triangle_ok
+from larkspan.functions.signal import energy_rates, gaussian, landmarks, peaks, saliency, spectrogram
+from larkspan.operators import geometry
+from larkspan.operators.greedy import select_dense, target_region
 
 
 def test_config_defaults_and_checks():
@@ -20,8 +23,8 @@ def test_config_defaults_and_checks():
 
 
 def test_pack_and_parse_agree(spark):
-    row = spark.range(1).select(C.pack_descriptor(*[F.lit(v) for v in (25, -3, 4, 7, 12)]).alias("a"), C.parse_descriptor(F.lit("tri:25:-3:4:7:12")).alias("b")).first()
-    assert row.a == row.b == (25 << 32) + (125 << 24) + (132 << 16) + (135 << 8) + 140
+    row = spark.range(1).select(C.pack_descriptor(*[F.lit(v) for v in (131, 17, -9, -40, 62)]).alias("a"), C.parse_descriptor(F.lit("tri:131:17:-9:-40:62")).alias("b")).first()
+    assert row.a == row.b == (131 << 32) + (145 << 24) + (119 << 16) + (88 << 8) + 190
 
 
 @pytest.mark.parametrize("text", ["tri:1:2", "x:1:2:3:4:5"])
@@ -107,17 +110,69 @@ def test_landmarks_are_deterministic_and_in_band():
     assert landmarks(tone(), magnitude=True)
 
 
-def test_dense_selection_keeps_capacity():
-    rng = random.Random(3)
-    points = list({(rng.randint(0, 9), rng.randint(0, 50)): 0 for _ in range(200)})
-    chosen = select_dense([(f, t, rng.random()) for f, t in points], lambda _: 3, 5)
-    times = sorted(t for _, t, _ in chosen)
-    assert max(sum(s <= t <= s + 5 for t in times) for s in times) <= 3
+def blurred(x, sigma):
+    """Gaussian smoothing of a list of numbers, cell by cell."""
+    r = int(4 * sigma + 0.5)
+    weights = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(-r, r + 1)]
+    return [sum(w * x[min(max(i + d, 0), len(x) - 1)] for d, w in zip(range(-r, r + 1), weights)) / sum(weights) for i in range(len(x))]
+
+
+def blurred2(x, sigmas):
+    columns = list(zip(*[blurred(row, sigmas[1]) for row in x]))
+    return [list(row) for row in zip(*[blurred(c, sigmas[0]) for c in columns])]
+
 
+def test_saliency_against_a_direct_loop():
+    c = DEFAULT.landmarks
+    band = np.random.default_rng(1).uniform(0, 60, (14, 20))
+    level = blurred2(band.tolist(), c.fine)
+    ground = blurred2(level, c.background)
+    contrast = [[a - b for a, b in zip(x, y)] for x, y in zip(level, ground)]
+    energy = blurred2([[v * v for v in row] for row in contrast], c.normalization)
+    want = [
+        [max(-12, min(12, 3.0 * contrast[i][k] / math.sqrt(energy[i][k] + 0.75**2) + 0.015 * max(level[i][k] - 10.0, 0))) for k in range(20)] for i in range(14)
+    ]
+    assert saliency(band) == pytest.approx(np.array(want))
 
-def test_region_triples_respect_budget_and_rules():
+
+def test_energy_rates_against_a_direct_loop():
+    field = np.random.default_rng(2).uniform(-3, 9, (45, 70))
+    field[:, 40:] = 0
+    energy = [sum(sorted((max(v, 0) for v in field[:, k]), reverse=True)[:2]) / 2 for k in range(70)]
+    near, far = blurred(energy, 2.0 / 0.032 / 4), blurred(energy, 8.0 / 0.032 / 4)
+    want = [min(44, max(6, 22 * ((a + 0.25) / (b + 0.25)) ** 0.75)) for a, b in zip(near, far)]
+    assert energy_rates(field, 0.032) == pytest.approx(np.array(want))
+    assert energy_rates(np.zeros((5, 9)), 0.032) == pytest.approx(np.full(9, 22.0))
+
+
+@pytest.mark.parametrize("window", [5, 7.8])
+def test_dense_selection_against_brute_force(window):
+    rng = random.Random(3)
+    points = [(f, t, rng.randint(0, 20)) for f, t in {(rng.randint(0, 9), rng.randint(-5, 50)) for _ in range(200)}]
+    chosen, times = [], []
+    for f, t, score in sorted(points, key=lambda p: (-p[2], p[1], p[0])):
+        begins = [t - k / 5 for k in range(int(window * 5) + 1)]
+        if all(sum(s <= x <= s + window for x in times) < 2 + t % 3 for s in begins):
+            times.append(t)
+            chosen.append((f, t, score))
+    assert select_dense(points, lambda t: 2 + t % 3, window) == chosen
+    assert select_dense([], lambda t: 1, 5) == []
+
+
+def test_target_region_against_brute_force(spark):
     rng = random.Random(4)
-    points = sorted({(rng.randint(0, 40), rng.randint(0, 60)) for _ in range(60)}, key=lambda p: (p[1], p[0]))
-    found = region_triples(points, 4)
-    used = [sum(i in x for x in found) for i in range(len(points))]
-    assert found and max(used) <= 4 and all(triangle_ok(*[points[i] for i in x], DEFAULT.triangles) for x in found)
+    points = sorted({(rng.randint(0, 40), rng.randint(0, 60)) for _ in range(70)}, key=lambda p: (p[1], p[0]))
+    used, want = [0] * len(points), []
+    step = lambda p, q: 1 <= q[1] - p[1] <= 12 and 1 <= abs(q[0] - p[0]) <= 128
+    t = DEFAULT.triangles
+    for ids in itertools.combinations(range(len(points)), 3):
+        a, b, c = (points[i] for i in ids)
+        cross = 35 * abs((b[1] - a[1]) * (c[0] - a[0]) - (c[1] - a[1]) * (b[0] - a[0]))
+        e = [25 * (p[1] - q[1]) ** 2 + 49 * (p[0] - q[0]) ** 2 for p, q in ((a, b), (a, c), (b, c))]
+        shaped = c[1] - a[1] <= t.max_span and cross >= 245 and max(e) <= 420**2 and e[0] * e[1] * e[2] <= (cross * 560) ** 2
+        if step(a, b) and step(b, c) and shaped and all(used[i] < 4 for i in ids):
+            want.append((9, *ids))
+            for i in ids:
+                used[i] += 1
+    rows = geometry.indexed(spark.createDataFrame([(9, f, t, 1.0) for f, t in points], "track long, f int, t int, score double"))
+    assert want and sorted(map(tuple, target_region(rows, 4).collect())) == want
