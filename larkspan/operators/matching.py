@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from larkspan.config import Matching
 from larkspan.functions.columns import exact, places5, small
 from larkspan.operators.index import hash_stats, idf
+from larkspan.scratch import materialize
 
 
 def matches(queries: DataFrame, postings: DataFrame, tracks: int, m: Matching = Matching()) -> DataFrame:
-    """(query, track, delta, idf): every meeting of a query hash and a posting. Only postings that a query
-    asks for reach the statistics: the queries' distinct hashes, broadcast while they are few, filter the scan."""
-    wanted = queries.select("hash").distinct()
-    near = postings.join(small(wanted), "hash", "left_semi")
+    """(query, track, delta, idf): every meeting of a query hash and a posting. The index is read once: the postings that
+    a query asks for are written, and statistics and meetings read those alone."""
+    asked = materialize(queries.select("query", "hash", F.col("offset").alias("at")).distinct(), "asked")
+    near = materialize(postings.join(small(asked.select("hash").distinct()), "hash", "left_semi"), "probed")
     weights = hash_stats(near).select("hash", exact(idf(F.col("df"), F.lit(tracks), m.smoothing, m.power)).alias("idf"))
-    asked = queries.select("query", "hash", F.col("offset").alias("at")).distinct()
-    weighted = asked.join(weights, "hash")
+    weighted = materialize(asked.join(weights, "hash"), "weighted")
     return near.join(small(weighted), "hash").select("query", "track", (F.col("offset") - F.col("at")).alias("delta"), "idf")
 
 
@@ -75,8 +75,8 @@ def adaptive(first: DataFrame, second: DataFrame, postings: DataFrame, tracks: i
     """
     wide = Matching(m.smoothing, m.power, m.radius, m.neighbour_weight, max(2, m.topn), m.min_hits, m.min_margin)
     met = matches(first, postings, tracks, wide)
-    one = ranked(best_per_track(smoothed(votes(met), wide)), wide.topn)
-    unsure = first.select("query").distinct().join(confidence(one, m).where("confident"), "query", "left_anti")
+    one = materialize(ranked(best_per_track(smoothed(votes(met), wide)), wide.topn), "one")
+    unsure = materialize(first.select("query").distinct().join(confidence(one, m).where("confident"), "query", "left_anti"), "unsure")
     new = second.join(first.select("query", "hash", "offset"), ["query", "hash", "offset"], "left_anti").join(unsure, "query", "left_semi")
     more = matches(new, postings, tracks, wide).unionByName(met.join(unsure, "query", "left_semi"))
     two = ranked(best_per_track(smoothed(votes(more), wide)), wide.topn)

@@ -9,8 +9,8 @@ from larkspan.config import Triangles
 from larkspan.functions.columns import descriptor_in_range, pack_descriptor, parse_descriptor, places5, probes
 from larkspan.operators import geometry as G
 from larkspan.operators import greedy, matching
+from larkspan.plans.stored import stored
 from larkspan.plans.text import load
-from larkspan.scratch import materialize
 
 
 def landmarks(spark, sf):
@@ -26,7 +26,7 @@ def event_landmarks(spark, sf):
 
 
 def _points(spark, sf):
-    return G.indexed(landmarks(spark, sf))
+    return stored(spark, sf, "events", "points", lambda: G.indexed(landmarks(spark, sf)))
 
 
 def landmark_distinct(spark, sf):
@@ -50,7 +50,7 @@ def top_fraction_mean(spark, sf):
 
 
 def _triples(spark, sf):
-    return G.triples(_points(spark, sf))
+    return stored(spark, sf, "events", "triples", lambda: G.triples(_points(spark, sf)))
 
 
 def triangles_valid(spark, sf):
@@ -66,8 +66,7 @@ def triangle_rank(spark, sf):
 
 
 def _faces(spark, sf):
-    points = _points(spark, sf)
-    return G.empty_faces(G.triples(points), points)
+    return stored(spark, sf, "events", "faces", lambda: G.empty_faces(_triples(spark, sf), _points(spark, sf)))
 
 
 def faces_empty_circle(spark, sf):
@@ -115,32 +114,53 @@ def _heard(spark, sf):
     return G.indexed(thinned)
 
 
-def _stage_union(spark, sf):
-    points = materialize(_heard(spark, sf), "points")
-    faces = materialize(G.empty_faces(G.triples(points), points), "faces")  # used once per stage
-    return _probed(faces, 1), _probed(faces, 1).unionByName(_probed(G.two_hop(faces, points), 1)).distinct()
+def _heard_faces(spark, sf):
+    points = stored(spark, sf, "events", "heard", lambda: _heard(spark, sf))
+    return points, stored(spark, sf, "events", "heard-faces", lambda: G.empty_faces(G.triples(points), points))
+
+
+def _probes(spark, sf, stage):
+    """(track, hash, offset) that stage "original" or "two_hop" asks for."""
+    if stage == "original":
+        return stored(spark, sf, "events", "probes-o", lambda: _probed(_heard_faces(spark, sf)[1], 1))
+    points, faces = _heard_faces(spark, sf)
+    one = _probes(spark, sf, "original")
+    return stored(spark, sf, "events", "probes-f", lambda: one.unionByName(_probed(G.two_hop(faces, points), 1)).distinct())
 
 
 def stage_union(spark, sf):
-    original, both = _stage_union(spark, sf)
+    original, both = _probes(spark, sf, "original"), _probes(spark, sf, "two_hop")
     return both.join(original.withColumn("o", F.lit(True)), ["track", "hash", "offset"], "left").groupBy(F.col("track").alias("user_id")).agg(
         F.count(F.lit(1)).alias("two_hop"), F.count("o").alias("original")
     )
 
 
-def _recognize(spark, sf, stage):
-    asked = _stage_union(spark, sf)[stage].withColumnRenamed("track", "query")
-    n = load(spark, sf, "events").select("user_id").distinct().count()
-    out = matching.recognize(asked, _probed(_faces(spark, sf), 0), n)
-    return out.select(F.col("query").alias("query_user"), "rank", F.col("track").alias("user_id"), "n", "score", "delta")
+def _face_postings(spark, sf):
+    return stored(spark, sf, "events", "face-postings", lambda: _probed(_faces(spark, sf), 0))
+
+
+def _users(spark, sf) -> int:
+    return load(spark, sf, "events").select("user_id").distinct().count()
+
+
+def _recognized(found):
+    return found.select(F.col("query").alias("query_user"), "rank", F.col("track").alias("user_id"), "n", "score", "delta", *[c for c in found.columns if c == "stage"])
 
 
 def event_recognize_o(spark, sf):
-    return _recognize(spark, sf, 0)
+    asked = _probes(spark, sf, "original").withColumnRenamed("track", "query")
+    return _recognized(matching.recognize(asked, _face_postings(spark, sf), _users(spark, sf)))
 
 
 def event_recognize_f(spark, sf):
-    return _recognize(spark, sf, 1)
+    asked = _probes(spark, sf, "two_hop").withColumnRenamed("track", "query")
+    return _recognized(matching.recognize(asked, _face_postings(spark, sf), _users(spark, sf)))
+
+
+def event_recognize_a(spark, sf):
+    """Stage one for all users, stage two for those that it leaves unsure."""
+    first, both = (_probes(spark, sf, s).withColumnRenamed("track", "query") for s in ("original", "two_hop"))
+    return _recognized(matching.adaptive(first, both, _face_postings(spark, sf), _users(spark, sf)))
 
 
 def offset_seconds(spark, sf):
@@ -221,13 +241,25 @@ hp AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY t, f, score D
 {_probe_sql('ho', 'hfc', 1)}, {_probe_sql('h2', 'hth', 1)}, hb AS (SELECT * FROM ho UNION SELECT * FROM h2)"""
 
 
+def _match_ctes(asked: str, x: str = "") -> str:
+    return f"""nt{x} AS (SELECT count(DISTINCT user_id) AS n FROM events),
+idf{x} AS (SELECT hash, (1 + ln((greatest(nt{x}.n, count(DISTINCT user_id)) + 1.0::DOUBLE) / (count(DISTINCT user_id) + 1.0::DOUBLE)))::DECIMAL(28,12) AS idf FROM ref, nt{x} GROUP BY hash, nt{x}.n),
+vt{x} AS (SELECT q.user_id AS query_user, p.user_id, p."offset" - q."offset" AS delta, count(*) AS n, sum(idf) AS w FROM {asked} q JOIN ref p USING (hash) JOIN idf{x} USING (hash) GROUP BY ALL),
+sm{x} AS (SELECT query_user, user_id, delta, (sum(n) OVER k)::BIGINT AS n, (w + (sum(w) OVER k - w) * 0.5)::DECIMAL(38,12) AS w FROM vt{x} WINDOW k AS (PARTITION BY query_user, user_id ORDER BY delta RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+bs{x} AS (SELECT * FROM sm{x} QUALIFY row_number() OVER (PARTITION BY query_user, user_id ORDER BY w DESC, n DESC, delta) = 1),
+rk{x} AS (SELECT query_user, (row_number() OVER (PARTITION BY query_user ORDER BY w DESC, n DESC, user_id))::INT AS rank, user_id, n, w::DECIMAL(20,5)::DOUBLE AS score, delta FROM bs{x} QUALIFY rank <= 2)"""
+
+
 def _match_sql(asked: str) -> str:
-    return f"""{_H}, nt AS (SELECT count(DISTINCT user_id) AS n FROM events),
-idf AS (SELECT hash, (1 + ln((greatest(nt.n, count(DISTINCT user_id)) + 1.0::DOUBLE) / (count(DISTINCT user_id) + 1.0::DOUBLE)))::DECIMAL(28,12) AS idf FROM ref, nt GROUP BY hash, nt.n),
-vt AS (SELECT q.user_id AS query_user, p.user_id, p."offset" - q."offset" AS delta, count(*) AS n, sum(idf) AS w FROM {asked} q JOIN ref p USING (hash) JOIN idf USING (hash) GROUP BY ALL),
-sm AS (SELECT query_user, user_id, delta, (sum(n) OVER k)::BIGINT AS n, (w + (sum(w) OVER k - w) * 0.5)::DECIMAL(38,12) AS w FROM vt WINDOW k AS (PARTITION BY query_user, user_id ORDER BY delta RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
-bs AS (SELECT * FROM sm QUALIFY row_number() OVER (PARTITION BY query_user, user_id ORDER BY w DESC, n DESC, delta) = 1),
-rk AS (SELECT query_user, (row_number() OVER (PARTITION BY query_user ORDER BY w DESC, n DESC, user_id))::INT AS rank, user_id, n, w::DECIMAL(20,5)::DOUBLE AS score, delta FROM bs QUALIFY rank <= 2)"""
+    return f"{_H}, {_match_ctes(asked)}"
+
+
+def _adaptive_sql() -> str:
+    """Users whose stage-one result has 8 hits at least and a margin of 0.4 keep it; the others take stage two's."""
+    return f"""{_match_sql("ho")}, {_match_ctes("hb", "2")}, cf AS (SELECT query_user, max(n) FILTER (rank = 1) AS hits, max(score) FILTER (rank = 1) AS f, coalesce(max(score) FILTER (rank = 2), 0) AS s FROM rk GROUP BY 1),
+sure AS (SELECT query_user FROM cf WHERE hits >= 8 AND f > 0 AND (f - s) / f >= 0.4::DOUBLE)
+SELECT *, 'original' AS stage FROM rk WHERE query_user IN (FROM sure) UNION ALL
+SELECT *, 'two_hop' AS stage FROM rk2 WHERE query_user IN (SELECT user_id FROM ho) AND query_user NOT IN (FROM sure)"""
 
 
 _MAX = """SELECT user_id, f, t, score FROM {0} a WHERE NOT EXISTS (SELECT 1 FROM {0} b WHERE a.user_id = b.user_id AND abs(a.t - b.t) <= 3 AND abs(a.f - b.f) <= 2
@@ -235,7 +267,7 @@ _MAX = """SELECT user_id, f, t, score FROM {0} a WHERE NOT EXISTS (SELECT 1 FROM
 
 QUERIES = {f.__name__: f for f in (
     event_landmarks, landmark_distinct, event_local_maxima, event_magnitude_maxima, top_fraction_mean, triangles_valid, triangle_rank, faces_empty_circle,
-    two_hop_triples, descriptor_pack, descriptor_range_check, descriptor_multiprobe, face_hashes, stage_union, event_recognize_o, event_recognize_f, offset_seconds,
+    two_hop_triples, descriptor_pack, descriptor_range_check, descriptor_multiprobe, face_hashes, stage_union, event_recognize_o, event_recognize_f, event_recognize_a, offset_seconds,
     pack_time_hash, target_region_pairs, event_density_greedy, target_region_greedy,
 )}
 
@@ -258,6 +290,7 @@ ORACLE_SQL = {
     "stage_union": f"{_H} SELECT user_id, count(*) AS two_hop, count(*) FILTER ((user_id, hash, \"offset\") IN (SELECT (user_id, hash, \"offset\") FROM ho)) AS original FROM hb GROUP BY user_id",
     "event_recognize_o": f"{_match_sql('ho')} SELECT * FROM rk",
     "event_recognize_f": f"{_match_sql('hb')} SELECT * FROM rk",
+    "event_recognize_a": _adaptive_sql(),
     "offset_seconds": f"{_match_sql('ho')} SELECT query_user, user_id, (delta * 1280 / 40000.0::DOUBLE)::DECIMAL(20,5)::DOUBLE AS offset_seconds, delta + 24 AS difference FROM rk WHERE rank = 1",
     "pack_time_hash": f"WITH {_E} SELECT DISTINCT user_id, (t::BIGINT << 32) + f % 65536 AS key, t AS time, (f % 65536)::INT AS hash FROM lm WHERE t >= 0 UNION ALL SELECT DISTINCT user_id, t::BIGINT * 4294967296 + f % 65536, t, (f % 65536)::INT FROM lm WHERE t < 0",
     "target_region_pairs": f"WITH {_E} SELECT a.user_id, a.i AS i1, b.i AS i2, b.t - a.t AS dt, b.f - a.f AS df FROM pt a JOIN pt b ON a.user_id = b.user_id AND b.i > a.i AND b.t - a.t BETWEEN 1 AND 12 AND abs(b.f - a.f) BETWEEN 1 AND 128",

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspan.config import Matching
-from larkspan.functions.columns import exact, places5
+from larkspan.functions.columns import exact, places5, small
 from larkspan.operators import index, matching
+from larkspan.plans.stored import stored
 
 
 #: Seconds of a frame; a token counts as one.
@@ -19,7 +20,8 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def postings(spark, sf, width: int = 3) -> DataFrame:
-    return index.token_shingles(load(spark, sf, "documents"), "doc_id", "text", "track", width)
+    """The stored index of all documents."""
+    return stored(spark, sf, "documents", f"postings-{width}", lambda: index.token_shingles(load(spark, sf, "documents"), "doc_id", "text", "track", width))
 
 
 def asked(spark, sf, width: int = 3) -> DataFrame:
@@ -27,8 +29,8 @@ def asked(spark, sf, width: int = 3) -> DataFrame:
 
 
 def n_tracks(spark, sf) -> int:
-    """Tracks with postings: documents of three tokens at least."""
-    return load(spark, sf, "documents").where(F.size(F.split(F.lower("text"), r"\s+")) >= 3).count()
+    """Tracks with postings: documents of three tokens at least. Each has a posting at offset 0."""
+    return stored(spark, sf, "documents", "tracks", lambda: postings(spark, sf).where("offset = 0").agg(F.count(F.lit(1)).alias("n"))).first()[0]
 
 
 def _met(spark, sf):
@@ -110,10 +112,10 @@ def _truth(spark, sf) -> DataFrame:
     size = F.size(F.split(F.lower("text"), r"\s+"))
     inner = index.token_shingles(items, "item_id", "text", "item_id").where("offset = 1").select("item_id", "hash")
     inner = inner.join(items.where(size >= 5), "item_id").withColumnRenamed("text", "passage")
-    held = index.token_shingles(docs, "doc_id", "text", "doc_id").join(F.broadcast(inner.select("hash").distinct()), "hash", "left_semi")
+    held = postings(spark, sf).withColumnRenamed("track", "doc_id").join(small(inner.select("hash").distinct()), "hash", "left_semi")
     pairs = held.select("doc_id", "hash").distinct().join(inner, "hash").drop("hash").join(docs.select("doc_id", "text"), "doc_id")
     short = items.where(size.between(3, 4)).select("item_id", F.col("text").alias("passage"))
-    tried = pairs.unionByName(docs.select("doc_id", "text").join(F.broadcast(short)))
+    tried = pairs.unionByName(docs.select("doc_id", "text").join(small(short)))
     found = tried.where(F.contains("text", F.col("passage")))
     before = F.expr("left(text, instr(text, passage) - 1)")
     place = F.size(F.split(F.lower(before), r"\s+")) - 1

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larkspan.config import Config, Matching
 from larkspan.operators import audio, checks, geometry, index, knn, matching, stats
 from larkspan.plans import registry, text
+from larkspan.plans.stored import stored
 from tests.test_functions import tone
 
 SF = "/root/testdata/sf0.001"
@@ -160,6 +161,23 @@ def test_checks(spark):
 def test_probe_plan_broadcasts_the_queries(spark):
     plan = matching.matches(text.asked(spark, SF), text.postings(spark, SF), 200)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "CartesianProduct" not in plan
+    assert plan.count("FileScan") == 2  # the probed postings and the queries' weights, not the index
+
+
+def test_stored_tables_are_built_once_and_again_for_new_files(spark, tmp_path):
+    path, built = str(tmp_path / "t.parquet"), []
+
+    def table():
+        def build():
+            built.append(1)
+            return spark.read.parquet(path).withColumn("y", F.col("x") + 1)
+
+        return stored(spark, str(tmp_path), "t", "y", build)
+
+    spark.range(3).toDF("x").write.parquet(path)
+    assert table().count() == table().count() == 3 and len(built) == 1
+    spark.range(5).toDF("x").write.mode("overwrite").parquet(path)
+    assert table().agg(F.max("y")).first()[0] == 5 and len(built) == 2
 
 
 def test_every_oracle_has_a_query():
