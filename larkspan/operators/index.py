@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions.columns import let, shingle_key
+from larkspan.ranks import sorted_rank
 
 
 def token_shingles(rows: DataFrame, id_col: str, text_col: str, name: str, width: int = 3) -> DataFrame:
@@ -40,6 +41,13 @@ def grouped(postings: DataFrame) -> DataFrame:
     return postings.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(item)).alias("postings"))
 
 
+def faults(lines: DataFrame) -> DataFrame:
+    """(fault, hash) of the grouped form: ``count`` for a row whose count differs from its list, ``repeated`` for a hash that has several rows."""
+    wrong = lines.where(F.size("postings") != F.col("n")).select(F.lit("count").alias("fault"), "hash")
+    twice = lines.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    return wrong.unionByName(twice.select(F.lit("repeated").alias("fault"), "hash"))
+
+
 def prefix_starts(stats: DataFrame) -> DataFrame:
     """(hash, n, start): where a hash's postings begin in key order, by range partition totals."""
     dealt = stats.select("hash", "n", F.shiftright("hash", 48).alias("part"))
@@ -61,8 +69,8 @@ def missing(candidates: DataFrame, tracks: DataFrame, key: str = "track") -> Dat
 
 
 def numbered(names: DataFrame, start: int, key: str = "track") -> DataFrame:
-    """Consecutive ids, after ``start``, in name order. New tracks of one batch only."""
-    return names.select(key, (F.row_number().over(Window.orderBy(key)) + start).cast("long").alias("track_id"))
+    """Consecutive ids, after ``start``, in name order."""
+    return sorted_rank(names.select(key), [key], "track_id").withColumn("track_id", F.col("track_id") + start + 1)
 
 
 def merge(existing: DataFrame, pending: DataFrame) -> DataFrame:

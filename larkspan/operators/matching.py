@@ -52,6 +52,16 @@ def ranked(best: DataFrame, topn: int) -> DataFrame:
     return out.select("query", "rank", "track", "n", places5(F.col("w")).alias("score"), "delta")
 
 
+def named(best: DataFrame, names: DataFrame, topn: int) -> DataFrame:
+    """(query, rank, track, name, n, score, delta): as ``ranked``, with the dictionary's names, which decide ties. A track that the
+    dictionary lacks is an error."""
+    known = best.join(names, "track", "left")
+    name = F.coalesce("name", F.raise_error(F.concat(F.lit("no name for track "), F.col("track").cast("string"))).cast("string"))
+    order = Window.partitionBy("query").orderBy(F.col("w").desc(), F.col("n").desc(), "name")
+    out = known.withColumn("name", name).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= topn)
+    return out.select("query", "rank", "track", "name", "n", places5(F.col("w")).alias("score"), "delta")
+
+
 def recognize(queries: DataFrame, postings: DataFrame, tracks: int, m: Matching = Matching()) -> DataFrame:
     """(query, rank, track, n, score, delta): the best tracks of every query."""
     return ranked(best_per_track(smoothed(votes(matches(queries, postings, tracks, m)), m)), m.topn)

@@ -11,6 +11,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspan.scratch import materialize
+
+
+def sorted_rank(df: DataFrame, order: list, out: str) -> DataFrame:
+    """Add ``out``: the 0-based place of a row in the order of all rows.
+
+    The rows are range-sorted and written; a place is the rows of the partitions before, and the row's place in its own. The second window
+    has a row per partition.
+    """
+    rows = materialize(df.orderBy(*order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()), "sorted")
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"), F.min("__m").alias("__low"))
+    parts = parts.select("__p", "__low", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    placed = rows.join(F.broadcast(parts), "__p").withColumn(out, (F.col("__base") + F.col("__m") - F.col("__low")).cast("long"))
+    return placed.drop("__p", "__m", "__low", "__base")
+
 
 def spread_rank(
     df: DataFrame,

@@ -92,7 +92,7 @@ def test_knn_and_rerank(spark):
     dots = v[12:15].astype(float) @ v.astype(float).T
     want = {(q, int(r)) for q in range(3) for r in np.argsort(-dots[q])[:4]}
     assert {(r["query"], r["row"]) for r in near.collect()} == want
-    found = knn.candidates(near.select(F.lit(0).alias("query"), F.col("query").alias("at"), "row"), knn.track_ranges(rows), 3)
+    found = knn.candidates(near.select(F.lit(0).alias("query"), F.col("query").alias("at"), "row"), rows, 3)
     assert all(r.start // 10 == (r.start + 2) // 10 == r.track for r in found.collect())
     seq = rows.where("row >= 12 and row < 15").select(F.lit(0).alias("query"), (F.col("row") - 12).alias("at"), "embedding")
     best = knn.rerank(found, seq, rows).where("rank = 1").first()
