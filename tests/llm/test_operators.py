@@ -91,6 +91,29 @@ def test_exact_dedup(docs, rows, keep, weak):
     same(got, [(i, best[t or ""], len(groups[t or ""]), i == best[t or ""]) for i, t, _ in rows])
 
 
+def test_exact_dedup_where_hits_outgrow_the_bitmap(docs, monkeypatch):
+    want = sorted(map(repr, exact_dedup.exact_dedup(docs).collect()))
+    monkeypatch.setattr(common, "FILTER_KEYS", 0)
+    assert sorted(map(repr, exact_dedup.exact_dedup(docs).collect())) == want
+
+
+def test_levels_of_the_digest_index(spark):
+    index, held = exact_dedup.DigestIndex(fanout=2), defaultdict(list)
+    for batch in range(7):
+        rows = [(10 * batch + k, f"text {(batch * k) % 9}", "s") for k in range(6)]
+        for i, t, _ in rows:
+            held[hashlib.sha256(t.encode()).digest()].append(i)
+        index.add(table(spark, rows))
+    assert [len(level) for level in index.levels] == [1, 1, 1]  # 7 = 1 + 2 + 4 adds
+    want = {d: (min(ids), len(ids)) for d, ids in held.items()}
+    asked = [*held, b"0" * 32]
+    found = index.lookup(asked)
+    assert "PushedFilters: [In(digest" in found._jdf.queryExecution().toString() or "Or(" in found._jdf.queryExecution().toString()
+    assert {bytes(r.digest): (r.keep_id, r.n) for r in found.collect()} == want
+    assert {bytes(r.digest): (r.keep_id, r.n) for r in index.merged().collect()} == want
+    assert len(index.members()) == 1 and {bytes(r.digest): (r.keep_id, r.n) for r in index.lookup(asked).collect()} == want
+
+
 def test_runs_hold_bloom_filters(spark, docs):
     runs = exact_dedup.flush(docs, "doc_id", "text")
     jvm = spark.sparkContext._jvm
