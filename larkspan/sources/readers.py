@@ -65,6 +65,9 @@ def read_text_index(spark: SparkSession, path: str) -> DataFrame:
     parts = F.split("value", ",")
     rows = spark.read.text(path).where(F.trim("value") != "").select(parts[0].alias("hash"), parts[1].cast("int").alias("n"), parse_postings(parts[2]).alias("p"))
     checked = rows.withColumn("p", F.when(F.size("p") == F.col("n"), F.col("p")).otherwise(F.raise_error(F.lit("posting count differs from list"))))
+    # Rows of one hash meet once here, as counts; a hash with two rows is an error.
+    once = checked.groupBy("hash").agg(F.count(F.lit(1)).alias("m"), F.first("p").alias("p"))
+    checked = once.withColumn("p", F.when(F.col("m") == 1, F.col("p")).otherwise(F.raise_error(F.concat(F.lit("repeated hash "), F.col("hash")))))
     return checked.select("hash", F.explode("p").alias("x")).select("hash", F.col("x.song").alias("track_id"), "x.offset")
 
 
@@ -88,6 +91,25 @@ TRIALS = "query_id string, reference_id string, query_path string, reference_pat
 ANNOTATIONS = "reference_id string, query_id string, reference_begin int, reference_end int, query_begin int, query_end int, tempo string, pitch string"
 
 
+def changed_files(spark: SparkSession, manifests: list[DataFrame], path: str) -> DataFrame:
+    """(path, problem) of files under ``path`` against manifests of (path, sha256), in path order: ``missing``, ``differs``, ``unlisted``, or
+    ``conflict`` where manifests disagree. Paths are relative; contents are read and digested by the executors."""
+    listed = manifests[0].select("path", "sha256")
+    for m in manifests[1:]:
+        listed = listed.unionByName(m.select("path", "sha256"))
+    listed = listed.groupBy("path").agg(F.min("sha256").alias("sha256"), F.max("sha256").alias("other"))
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.expr(f"substring(path, instr(path, '{root}') + {len(root) + 1})")
+    held = files.select(name.alias("path"), F.sha2("content", 256).alias("found"))
+    problem = (
+        F.when(F.col("sha256") != F.col("other"), "conflict").when(F.col("sha256").isNull(), "unlisted").when(F.col("found").isNull(), "missing")
+        .when(F.col("found") != F.lower("sha256"), "differs")
+    )
+    return listed.join(held, "path", "full_outer").select("path", problem.alias("problem")).where("problem is not null").orderBy("path")
+
+
 def read_trials(spark: SparkSession, path: str) -> DataFrame:
     return read_manifest(spark, path, TRIALS)
 

@@ -1,8 +1,9 @@
-"""The index on disk: versioned, all-or-nothing commits; atomic reports.
+"""The index on disk: versioned, all-or-nothing commits of segments; atomic reports.
 
-A store is a folder with numbered versions and a pointer file. A build writes a new version beside the old and
+A store is a folder with segments and a pointer file that lists the current ones. A build writes the new tracks' segment beside the old ones and
 then replaces the pointer in one rename, so a crash leaves either the old index or the new one, never a mixture, and a build that is
-run again cannot add postings twice.
+run again cannot add postings twice. Segments are never changed; when a level has FANOUT of them, they are merged into one of the next level, so
+a posting is rewritten once per level and not at every build. A track lies in one segment, so the statistics of segments add up.
 """
 
 from __future__ import annotations
@@ -10,9 +11,17 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspan.ranks import sorted_rank
+from larkspan.scratch import materialize
+
+#: Segments of a level that are merged into one of the next.
+FANOUT = 8
+#: Rows of a report.
+REPORT_ROWS = 1_000_000
+
 
 class IndexStore:
     def __init__(self, spark: SparkSession, path: str, config: dict | None = None):
@@ -43,52 +52,78 @@ class IndexStore:
     def _write(self, name: str, text: str) -> None:
         write_atomically(self.spark, f"{self.path}/{name}", text)
 
+    def _state(self) -> dict:
+        return json.loads(self._read("CURRENT") or '{"version": 0, "segments": []}')
+
     def version(self) -> int:
         """The current version; 0 if there is none."""
-        return int(self._read("CURRENT") or 0)
+        return self._state()["version"]
 
     def exists(self) -> bool:
         return self.version() > 0
 
+    def levels(self) -> list[int]:
+        """The level of every current segment."""
+        return [level for _, level in self._state()["segments"]]
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        paths = [f"{self.path}/{segment}/{name}" for segment, _ in self._state()["segments"]]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
     def tracks(self) -> DataFrame:
-        if not self.exists():
-            return self.spark.createDataFrame([], "track_id long, track string, total_hashes long")
-        return self.spark.read.parquet(f"{self.path}/v{self.version()}/tracks")
+        return self._table("tracks", "track_id long, track string, total_hashes long")
 
     def postings(self) -> DataFrame:
-        if not self.exists():
-            return self.spark.createDataFrame([], "hash long, track_id long, offset int")
-        return self.spark.read.parquet(f"{self.path}/v{self.version()}/postings")
+        """(hash, track_id, offset), sorted by hash within the files of a segment."""
+        return self._table("postings", "hash long, track_id long, offset int")
 
     def stats(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.version()}/stats")
+        """(hash, df, n) over all segments."""
+        return self._table("stats", "hash long, df long, n long").groupBy("hash").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
+
+    def _write_segment(self, tracks: DataFrame, postings: DataFrame) -> str:
+        name = f"segment-{uuid.uuid4().hex}"
+        base = f"{self.path}/{name}"
+        tracks.write.parquet(f"{base}/tracks")
+        postings.repartitionByRange("hash").sortWithinPartitions("hash", "track_id", "offset").write.parquet(f"{base}/postings")
+        kept = self.spark.read.parquet(f"{base}/postings")
+        per_track = kept.groupBy("hash", "track_id").agg(F.count(F.lit(1)).alias("n"))
+        per_track.groupBy("hash").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("n")).write.parquet(f"{base}/stats")
+        return name
 
     def add(self, fingerprints: DataFrame) -> int:
-        """Add (track, hash, offset) of tracks that the index lacks; returns how many were added. Nothing new, no version."""
-        known, postings, current = self.tracks(), self.postings(), self.version()
-        new = fingerprints.distinct().join(known.select("track"), "track", "left_anti")
+        """Add (track, hash, offset) of tracks that the index lacks; returns how many were added. Nothing new, no version.
+
+        One writer at a time. The rows are written once before they are numbered, so a stream's batch or a costly plan runs once.
+        """
+        state, known = self._state(), self.tracks()
+        new = materialize(fingerprints.distinct().join(known.select("track"), "track", "left_anti"), "new")
         sizes = new.groupBy("track").agg(F.count(F.lit(1)).alias("total_hashes"))
         last = known.agg(F.coalesce(F.max("track_id"), F.lit(0))).first()[0]
-        number = F.row_number().over(Window.orderBy("track")) + F.lit(last)  # tracks of one batch
-        named = sizes.select(number.cast("long").alias("track_id"), "track", "total_hashes")
-        base = f"{self.path}/v{current + 1}-{uuid.uuid4().hex}"
-        named.unionByName(known).write.parquet(f"{base}/tracks")
-        tracks = self.spark.read.parquet(f"{base}/tracks")
-        added = tracks.where(F.col("track_id") > last).count()
-        if not added:
-            self._fs.delete(self._at(base), True)
+        named = sorted_rank(sizes, ["track"], "track_id").select((F.col("track_id") + last + 1).alias("track_id"), "track", "total_hashes")
+        named = materialize(named, "named")
+        if not (added := named.count()):
             return 0
-        both = new.join(tracks.select("track", "track_id"), "track").select("hash", "track_id", F.col("offset").cast("int").alias("offset")).unionByName(postings)
-        both.repartitionByRange("hash").sortWithinPartitions("hash", "track_id", "offset").write.parquet(f"{base}/postings")
-        kept = self.spark.read.parquet(f"{base}/postings")
-        per_track = kept.groupBy("hash", "track_id").agg(F.count(F.lit(1)).alias("n"))
-        per_track.groupBy("hash").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("n")).write.parquet(f"{base}/stats")
-        target = self._at(f"{self.path}/v{current + 1}")
-        self._fs.delete(target, True)  # left by a build that did not reach its pointer
-        self._fs.rename(self._at(base), target)
-        self._write("CURRENT", str(current + 1))
+        postings = new.join(named.select("track", "track_id"), "track").select("hash", "track_id", F.col("offset").cast("int").alias("offset"))
+        segments = [*state["segments"], [self._write_segment(named, postings), 0]]
+        level = 0
+        while len(full := [s for s, at in segments if at == level]) >= FANOUT:
+            old = [f"{self.path}/{s}" for s in full]
+            merged = self._write_segment(*(self.spark.read.parquet(*[f"{p}/{t}" for p in old]) for t in ("tracks", "postings")))
+            segments = [[s, at] for s, at in segments if at != level] + [[merged, level + 1]]
+            level += 1
+        self._write("CURRENT", json.dumps({"version": state["version"] + 1, "segments": segments}))
         return added
 
+    def clean(self) -> int:
+        """Delete segments that the pointer does not list: merged ones, and what a build that did not reach its pointer left. No build may
+        be running."""
+        listed = {s for s, _ in self._state()["segments"]}
+        gone = [x.getPath() for x in self._fs.listStatus(self._at(self.path)) if x.getPath().getName().startswith("segment-") and x.getPath().getName() not in listed]
+        for p in gone:
+            self._fs.delete(p, True)
+        return len(gone)
+
 
 def write_atomically(spark: SparkSession, path: str, text: str) -> None:
     """Write beside the target, then replace it by a rename; the temporary file goes if that fails."""
@@ -109,15 +144,18 @@ def write_atomically(spark: SparkSession, path: str, text: str) -> None:
             fs.delete(beside, False)
 
 
-def write_report(df: DataFrame, path: str, order: list[str]) -> None:
-    """A small table as one CSV file, sorted, replaced atomically."""
+def write_report(df: DataFrame, path: str, order: list[str], most: int = REPORT_ROWS) -> None:
+    """A small table as one CSV file, sorted, replaced atomically. More than ``most`` rows are an error: they would have to pass the driver."""
     import csv
     import io
 
+    rows = df.orderBy(*order).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report has {most} rows at most")
     out = io.StringIO()
     writer = csv.writer(out, lineterminator="\n")
     writer.writerow(df.columns)
-    writer.writerows(df.orderBy(*order).collect())
+    writer.writerows(rows)
     write_atomically(df.sparkSession, path, out.getvalue())
 
 

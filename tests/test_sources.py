@@ -1,3 +1,4 @@
+import hashlib
 import io
 import json
 import wave
@@ -6,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from larkspan.operators import evaluation as E
 from larkspan.sources import readers as R
 from larkspan.sources.store import IndexStore, write_report, write_summary
 from larkspan.streaming import increment
@@ -95,16 +97,84 @@ def test_store_is_versioned_and_idempotent(spark, tmp_path):
     assert store.add(rows(spark, "c", "a")) == 1
     assert {r.track: r.track_id for r in store.tracks().collect()} == {"a": 1, "b": 2, "c": 3}
     assert store.postings().count() == 15 and store.stats().where("df <> 3 or n <> 3").isEmpty()
-    (tmp_path / "index" / "v3").mkdir()  # what a crash before the pointer leaves
+    (tmp_path / "index" / "segment-x").mkdir()  # what a crash before the pointer leaves
     assert store.add(rows(spark, "d")) == 1 and store.postings().count() == 20
+    assert store.clean() == 1 and store.postings().count() == 20
     with pytest.raises(ValueError, match="configuration"):
         IndexStore(spark, f"file://{tmp_path}/index", {"a": 2})
 
 
+def test_segments_are_merged_by_levels(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("larkspan.sources.store.FANOUT", 2)
+    store = IndexStore(spark, f"file://{tmp_path}/index")
+    for n, name in enumerate("abcde", 1):
+        assert store.add(rows(spark, name)) == 1 and store.version() == n
+    assert sorted(store.levels()) == [0, 2]
+    assert store.postings().count() == 25 and store.stats().where("df <> 5 or n <> 5").isEmpty()
+    assert {r.track: r.track_id for r in store.tracks().collect()} == {t: k for k, t in enumerate("abcde", 1)}
+    assert store.clean() == 6 and store.postings().count() == 25
+
+
+def test_changed_files(spark, tmp_path):
+    (tmp_path / "d" / "sub").mkdir(parents=True)
+    for name in ("a", "b", "sub/c", "x"):
+        (tmp_path / "d" / name).write_text(name)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    one = spark.createDataFrame([("a", sha("a")), ("b", sha("z")), ("sub/c", sha("sub/c"))], "path string, sha256 string")
+    two = spark.createDataFrame([("gone", sha("g")), ("a", sha("a"))], "path string, sha256 string")
+    three = spark.createDataFrame([("gone", sha("h"))], "path string, sha256 string")
+    check = lambda *m: [tuple(r) for r in R.changed_files(spark, list(m), str(tmp_path / "d")).collect()]
+    assert check(one, two) == [("b", "differs"), ("gone", "missing"), ("x", "unlisted")]
+    assert check(one, two, three)[1] == ("gone", "conflict")
+
+
+def test_repeated_hash_rows_are_rejected(spark, tmp_path):
+    (tmp_path / "inv.csv").write_text("h,1,1:7\nh,1,2:9\n")
+    with pytest.raises(Exception, match="repeated hash h"):
+        R.read_text_index(spark, str(tmp_path / "inv.csv")).collect()
+
+
+def test_gates(spark):
+    summary = lambda **k: json.dumps({"schema": "s", "protocol": "p", "system": "x", "trials": 3} | k)
+    done = lambda t: E.complete(t, 3, "s", "p", "x")
+    assert done(summary()) and done(summary(errors=0)) and not any(map(done, [None, "{", "[]", summary(trials=2), summary(errors=1), summary(schema="t"), summary(system="y")]))
+    rows = spark.createDataFrame([("x", "matched", 1)] * 3, "system string, status string, v int")
+    good = spark.createDataFrame([("x", "s", "p", 3, 3, 0)], "system string, schema string, protocol string, expected long, trials long, errors long")
+    E.require_report(good, rows, "s", "p", {"v"})
+    with pytest.raises(ValueError, match="schema"):
+        E.require_report(good, rows, "t", "p", {"v"})
+    with pytest.raises(ValueError, match="trials"):
+        E.require_report(good, rows.limit(2), "s", "p", {"v"})
+    with pytest.raises(ValueError, match="missing columns"):
+        E.require_report(good, rows, "s", "p", {"w"})
+
+
+def test_resumed_runs_take_up_what_is_missing_or_failed(spark, tmp_path):
+    trials = spark.range(40).select("id", (F.col("id") % 8).alias("g"))
+    ran = []
+
+    def run(status):
+        def evaluate(part):
+            ran.append(part.count())
+            return part.select("id", "g", F.lit(status).alias("status"))
+
+        return evaluate
+
+    path = f"file://{tmp_path}/results"
+    first = E.resumable(spark, trials, "id", "g", run("matched"), path, parts=4, stop_after=2)
+    assert 0 < first.count() == sum(ran) < 40
+    E.resumable(spark, trials, "id", "g", run("error"), path, parts=2)
+    assert sum(ran) == 40
+    last = E.resumable(spark, trials, "id", "g", run("matched"), path)
+    assert sum(ran) == 80 - first.count() and last.count() == 40 and last.where("status = 'error'").isEmpty()
+
+
 def test_reports_are_replaced(spark, tmp_path):
     path = f"file://{tmp_path}/out.csv"
     for n in (3, 2):
         write_report(spark.range(n).select("id", F.lit("a,b").alias("x")), path, ["id"])
+    with pytest.raises(ValueError, match="2 rows at most"):
+        write_report(spark.range(3), path, ["id"], most=2)
     assert (tmp_path / "out.csv").read_text() == 'id,x\n0,"a,b"\n1,"a,b"\n'
     write_summary(spark, {"b": 1}, f"file://{tmp_path}/s.json")
     assert json.loads((tmp_path / "s.json").read_text()) == {"b": 1} and not [p for p in tmp_path.iterdir() if p.name.startswith(".out") and p.suffix != ".crc"]
