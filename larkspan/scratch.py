@@ -1,15 +1,17 @@
 """Intermediate tables in the folder that the whole cluster shares.
 
-``spark.checkpoint.dir`` names that folder. Only where the session leaves it unset (unit tests, a
-laptop) a temporary folder is made. A table written here cuts the lineage: a lost executor costs
-the tasks it was running, not the stages before the table.
+``spark.checkpoint.dir`` names that folder. Only a local session (unit tests, a laptop) may leave it unset; a temporary folder is made then. A
+table written here cuts the lineage: a lost executor costs the tasks it was running, not the stages before the table.
+Tables go when ``release`` is called, or with the interpreter.
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="larkspan-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -34,14 +38,14 @@ def materialize(df: DataFrame, name: str, options: dict[str, str] | None = None,
         atexit.register(_sweep)
     _made.append(path)
     df.write.options(**(options or {})).parquet(path, partitionBy=by)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
-def release(df_or_paths: DataFrame | list[str]) -> None:
-    """Delete scratch tables; give a DataFrame read from one, or their paths."""
-    paths = df_or_paths if isinstance(df_or_paths, list) else [
-        p for p in _made if any(f.startswith(p) for f in df_or_paths.inputFiles())
-    ]
+def release(*tables: DataFrame | str) -> None:
+    """Delete tables that ``materialize`` returned, or their paths. Nothing may read them any more."""
+    paths = [t if isinstance(t, str) else t._scratch for t in tables]
     spark = SparkSession.getActiveSession()
     if spark is None:
         return
@@ -54,8 +58,17 @@ def release(df_or_paths: DataFrame | list[str]) -> None:
             _made.remove(p)
 
 
+@contextlib.contextmanager
+def kept_only() -> Iterator[list[DataFrame]]:
+    """Release what is made inside, but for the tables that are put on the list."""
+    first, keep = len(_made), []
+    yield keep
+    held = {t._scratch for t in keep}
+    release(*[p for p in _made[first:] if p not in held])
+
+
 def _sweep() -> None:
     try:
-        release(list(_made))
+        release(*_made)
     except Exception:  # the session may be gone at interpreter exit
         pass

@@ -11,22 +11,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.functions.columns import half_even
-from larkspan.operators.checks import require_columns, stem
+from larkspan.operators.checks import not_functional, require_columns, stem
 from larkspan.operators.index import parse_postings
 
 
+#: Zero crossings of the resampling kernel on each side.
+CROSSINGS = 24
+
+
+def resampled(x, own: int, rate: int):
+    """Samples at another rate through a Hann-windowed sinc, whose cutoff is the lower of both rates; of n samples come round(n rate / own)."""
+    import numpy as np
+
+    if own == rate or not len(x):
+        return x
+    scale = min(1.0, rate / own)
+    reach = int(np.ceil(CROSSINGS / scale))
+    padded = np.pad(np.asarray(x, np.float64), reach + 1)
+    out = np.empty(round(len(x) * rate / own))
+    for low in range(0, len(out), 4096):
+        at = np.arange(low, min(low + 4096, len(out))) * own / rate
+        taps = np.floor(at).astype(np.int64)[:, None] + np.arange(-reach, reach + 2)
+        away = (at[:, None] - taps) * scale
+        kernel = np.sinc(away) * np.where(np.abs(away) < CROSSINGS, 0.5 + 0.5 * np.cos(np.pi * away / CROSSINGS), 0)
+        out[low : low + 4096] = (padded[taps + reach + 1] * kernel).sum(axis=1) / kernel.sum(axis=1)
+    return out
+
+
 def decode_wav(content: bytes, rate: int | None = None):
-    """16-bit mono samples of a PCM file, averaged over channels and linearly resampled to ``rate``."""
+    """16-bit mono samples of a PCM file of 8, 16, 24 or 32 bits, averaged over channels and resampled to ``rate``."""
     import numpy as np
 
     with wave.open(io.BytesIO(content)) as w:
-        if w.getsampwidth() != 2:
-            raise ValueError(f"{8 * w.getsampwidth()}-bit samples are not supported, 16-bit ones are")
-        x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels()).mean(axis=1)
-        own = w.getframerate()
-    if rate and rate != own and len(x):
-        n = round(len(x) * rate / own)
-        x = np.interp(np.arange(n) * own / rate, np.arange(len(x)), x)
+        width, data = w.getsampwidth(), w.readframes(w.getnframes())
+        channels, own = w.getnchannels(), w.getframerate()
+    if width == 1:
+        x = (np.frombuffer(data, np.uint8).astype(np.float64) - 128) * 256
+    elif width == 3:  # the three bytes become the upper ones of four
+        wide = np.zeros((len(data) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+        x = wide.view("<i4").ravel() / 65536
+    else:
+        x = np.frombuffer(data, {2: "<i2", 4: "<i4"}[width]) / {2: 1, 4: 65536}[width]
+    x = x.reshape(-1, channels).mean(axis=1)
+    if rate:
+        x = resampled(x, own, rate)
     return np.clip(np.rint(x), -32768, 32767).astype(np.int16)
 
 
@@ -118,6 +147,72 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     return read_manifest(spark, path, ANNOTATIONS, {"tempo": "", "pitch": ""})
 
 
+def _resolved(path, root: str):
+    """An absolute path as it is, another one under ``root``."""
+    full = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+    return F.regexp_replace(full, "/(\\./)+", "/")
+
+
+def trial_faults(trials: DataFrame, files: DataFrame, root: str, seconds: float) -> DataFrame:
+    """(fault, id) of trials against the audio files (path, track) that exist: ``empty`` or ``repeated`` query ids, ``missing`` audio, a ``stem`` that
+    is not the id, a ``reference`` with several paths, a ``duration`` other than ``seconds``."""
+    t = trials.select(
+        F.trim("query_id").alias("id"), F.trim("reference_id").alias("ref"), _resolved(F.col("query_path"), root).alias("q"),
+        _resolved(F.col("reference_path"), root).alias("r"), "query_duration_seconds",
+    )
+    held = files.select(F.regexp_replace("path", "^[a-z]+:/+", "/").alias("held")).distinct()
+    named = lambda name, df, key="id": df.select(F.lit(name).alias("fault"), F.col(key).alias("id"))
+    asked = t.select("id", F.explode(F.array("q", "r")).alias("p"))
+    found = [
+        named("empty", t.where("id = ''")), named("repeated", t.groupBy("id").count().where("count > 1")),
+        named("missing", asked.join(held, asked["p"] == held["held"], "left_anti")),
+        named("stem", t.where((stem(F.col("q")) != F.col("id")) | (stem(F.col("r")) != F.col("ref")))),
+        named("reference", not_functional(t, "ref", "r"), "ref"),
+        named("duration", t.where(F.coalesce(F.abs(F.col("query_duration_seconds") - seconds) > 1e-6, F.lit(True)))),
+    ]
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out.distinct()
+
+
+def annotation_faults(annotations: DataFrame, references: DataFrame, queries: DataFrame) -> DataFrame:
+    """(fault, id): ``stem`` for a name that several reference files share, ``missing`` for annotations without one of their files, ``interval`` for
+    empty or unreadable query intervals."""
+    a = annotations.withColumn("query_id", F.trim("query_id")).withColumn("reference_id", F.trim("reference_id"))
+    shared = references.groupBy("track").count().where("count > 1").select(F.lit("stem").alias("fault"), F.col("track").alias("id"))
+    one = a.join(references.select(F.col("track").alias("reference_id")).distinct(), "reference_id", "left_anti").select(F.lit("missing").alias("fault"), F.col("reference_id").alias("id"))
+    two = a.join(queries.select(F.col("track").alias("query_id")).distinct(), "query_id", "left_anti").select(F.lit("missing").alias("fault"), F.col("query_id").alias("id"))
+    empty = a.where(~F.coalesce(F.col("query_end") > F.col("query_begin"), F.lit(False))).select(F.lit("interval").alias("fault"), F.col("query_id").alias("id"))
+    return shared.unionByName(one).unionByName(two).unionByName(empty).distinct()
+
+
+def _sound(rows: DataFrame, faults: DataFrame) -> DataFrame:
+    if bad := faults.orderBy("fault", "id").limit(5).collect():
+        raise ValueError(f"faults: {[tuple(r) for r in bad]}")
+    return rows
+
+
+def load_trials(spark: SparkSession, root: str, trials: int | None = None, references: int | None = None, seconds: float = 10.0) -> DataFrame:
+    """The trials of ``root``/manifest.csv, checked against the files under ``root`` and the expected numbers."""
+    rows = read_trials(spark, f"{root}/manifest.csv")
+    _sound(rows, trial_faults(rows, list_audio(spark, root, True), root, seconds))
+    n = rows.agg(F.count(F.lit(1)), F.countDistinct(F.trim("reference_id"))).first()
+    if (trials or n[0], references or n[1]) != tuple(n):
+        raise ValueError(f"{references} references and {trials} trials are due, found {n[1]} and {n[0]}")
+    return rows
+
+
+def load_annotations(spark: SparkSession, root: str, references: int | None = None, queries: int | None = None) -> DataFrame:
+    """The annotations of ``root``/annotations.csv, checked against the files in ``root``/references and ``root``/queries and their expected numbers."""
+    rows, held, asked = read_annotations(spark, f"{root}/annotations.csv"), list_audio(spark, f"{root}/references", True), list_audio(spark, f"{root}/queries", False)
+    _sound(rows, annotation_faults(rows, held, asked))
+    n = held.count(), asked.count()
+    if (references or n[0], queries or n[1]) != n:
+        raise ValueError(f"{references} references and {queries} queries are due, found {n[0]} and {n[1]}")
+    return rows
+
+
 def list_audio(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
     """(path, track) of audio files; hidden files are skipped, contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path")

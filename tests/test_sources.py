@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from larkspan import scratch
 from larkspan.operators import evaluation as E
 from larkspan.sources import readers as R
 from larkspan.sources.store import IndexStore, write_report, write_summary
@@ -34,6 +35,66 @@ def test_audio_reader(spark, tmp_path):
     assert [r.track for r in R.list_audio(spark, str(tmp_path), True).collect()] == ["one", "two"]
 
 
+@pytest.mark.parametrize("width", [1, 2, 3, 4])
+def test_sample_widths(width):
+    x = tone(0.05)[:200] // 256 * 256
+    raw = {1: (x // 256 + 128).astype(np.uint8).tobytes(), 2: x.tobytes(), 4: (x.astype("<i4") << 16).tobytes()}
+    raw[3] = (x.astype("<i4") << 8).view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1), w.setsampwidth(width), w.setframerate(8000), w.writeframes(raw[width])
+    assert R.decode_wav(out.getvalue()).tolist() == x.tolist()
+
+
+def test_resampling_is_band_limited():
+    t = np.arange(8000) / 8000
+    low, high = np.sin(2 * np.pi * 300 * t), np.sin(2 * np.pi * 3300 * t)
+    down = R.resampled(low + high, 8000, 4000)  # 3,300 Hz lies above the new limit and must not come back as 700 Hz
+    assert len(down) == 4000 and np.abs(down[100:-100] - np.sin(2 * np.pi * 300 * np.arange(4000) / 4000)[100:-100]).max() < 0.02
+    up = R.resampled(low, 8000, 44100)
+    assert len(up) == 44100 and np.abs(up[500:-500] - np.sin(2 * np.pi * 300 * np.arange(44100) / 44100)[500:-500]).max() < 0.01
+
+
+def test_trials_are_checked_on_load(spark, tmp_path):
+    for name in ("q/q1.wav", "q/q2.wav", "r/r1.wav"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    head = "query_id,reference_id,query_path,reference_path,reference_begin_seconds,query_duration_seconds\n"
+    good = ["q1,r1,q/q1.wav,r/r1.wav,0,10.0", f"q2,r1,{tmp_path}/q/q2.wav,r/r1.wav,5,10"]
+    write = lambda *rows: (tmp_path / "manifest.csv").write_text(head + "\n".join(rows) + "\n")
+    write(*good)
+    assert R.load_trials(spark, str(tmp_path), trials=2, references=1).count() == 2
+    with pytest.raises(ValueError, match="496 references"):
+        R.load_trials(spark, str(tmp_path), trials=1488, references=496)
+    bad = {"repeated": good[0], "empty": " ,r1,q/q1.wav,r/r1.wav,0,10", "missing": "q3,r1,q/q3.wav,r/r1.wav,0,10", "stem": "q3,r1,q/q2.wav,r/r1.wav,0,10",
+           "reference": f"q3,r1,q/q2.wav,{tmp_path}/q/q1.wav,0,10", "duration": "q3,r1,q/q2.wav,r/r1.wav,0,9"}
+    for fault, row in bad.items():
+        write(*good, row)
+        files = R.list_audio(spark, str(tmp_path), True)
+        found = R.trial_faults(R.read_trials(spark, str(tmp_path / "manifest.csv")), files, str(tmp_path), 10.0).collect()
+        assert fault in {r.fault for r in found}, fault
+    with pytest.raises(ValueError, match="faults"):
+        R.load_trials(spark, str(tmp_path))
+
+
+def test_annotations_are_checked_on_load(spark, tmp_path):
+    for name in ("queries/q.wav", "references/a/r.wav", "references/s.wav"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    head = "reference_id,query_id,reference_begin,reference_end,query_begin,query_end,tempo\n"
+    write = lambda row: (tmp_path / "annotations.csv").write_text(head + row + "\n")
+    write("r,q,0,5,1,6,100")
+    assert R.load_annotations(spark, str(tmp_path), references=2, queries=1).first().tempo == "100"
+    for row, fault in (("x,q,0,5,1,6,", "missing"), ("r,y,0,5,1,6,", "missing"), ("r,q,0,5,6,6,", "interval")):
+        write(row)
+        with pytest.raises(ValueError, match=fault):
+            R.load_annotations(spark, str(tmp_path))
+    (tmp_path / "references" / "r.mp3").write_bytes(b"x")
+    write("r,q,0,5,1,6,")
+    with pytest.raises(ValueError, match="stem"):
+        R.load_annotations(spark, str(tmp_path))
+
+
 def test_segment(spark):
     df = spark.createDataFrame([([*range(10)],)], "s array<int>")
     assert df.select(R.segment(F.col("s"), F.lit(0.5), F.lit(2.5), 1)).first()[0] == [0, 1]  # halves go to even bounds
@@ -201,3 +262,15 @@ def test_vote_and_window_streams(spark, tmp_path):
     q = increment.hop_windows(stream).writeStream.format("memory").queryName("hops").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sum(r.n for r in spark.table("hops").collect()) == 6
+
+
+def test_scratch_tables_are_released(spark, tmp_path):
+    with scratch.kept_only() as keep:
+        one = scratch.materialize(spark.range(3), "one")
+        two = scratch.materialize(one.selectExpr("id + 1 AS id"), "two")
+        keep.append(two)
+    assert two.count() == 3 and one._scratch not in scratch._made
+    with pytest.raises(Exception):
+        one.selectExpr("max(id)").collect()
+    scratch.release(two)
+    assert two._scratch not in scratch._made
