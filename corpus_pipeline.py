@@ -15,7 +15,7 @@ from larkspan.llm.mixing import mixed_documents
 from larkspan.llm.near_dedup import without_near_duplicates
 from larkspan.llm.packing import best_fit_packing, token_pieces
 from larkspan.llm.quality import passing
-from larkspan.scratch import materialize
+from larkspan.scratch import kept_only, materialize, release
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,8 +73,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = load(spark, sf_dir, "documents")
+    """All stages over ``documents``; a stage's tables go when the next one's docs are written."""
+    docs = last = load(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with kept_only() as keep:
+            docs = materialize(stage(spark, last, sf_dir), name)
+            keep.append(docs)
+        if name != STAGES[0][0]:
+            release(last)
+        last = docs
     return docs
