@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,15 +39,16 @@ def require_report(summaries: DataFrame, rows: DataFrame, schema: str, protocol:
         raise ValueError(f"results may not be reported: {[tuple(r) for r in bad]}")
 
 
-def complete(text: str | None, expected: int, schema: str, protocol: str, system: str) -> bool:
-    """Whether the text of a summary file (None: no file) says that a run is finished, so that it need not run again."""
-    try:
-        found = json.loads(text) if text is not None else None
-    except json.JSONDecodeError:
-        return False
-    if not isinstance(found, dict) or (found.get("schema"), found.get("protocol"), found.get("system")) != (schema, protocol, system):
-        return False
-    return int(found.get("trials") or 0) == expected and not int(found.get("errors") or 0)
+def finished(due: DataFrame, summaries: DataFrame) -> DataFrame:
+    """(system, finished): which of the runs that are due need not run again.
+
+    due: (system, schema, protocol, trials). summaries: (system, text), the text of a run's summary file if it has one. A summary that is no
+    JSON object, belongs to another schema, protocol or system, counts other trials, or counts errors does not finish a run.
+    """
+    found = summaries.select("system", F.from_json("text", "schema string, protocol string, system string, trials long, errors long").alias("s"))
+    own = F.struct("schema", "protocol", "system", "trials") == F.col("s").dropFields("errors")
+    clean = F.coalesce(F.col("s.errors"), F.lit(0)) == 0
+    return due.join(found, "system", "left").select("system", F.coalesce(own & clean & F.col("s").isNotNull(), F.lit(False)).alias("finished"))
 
 
 def mean_present(value: Column) -> Column:

@@ -33,14 +33,14 @@ def report_gate(spark, sf):
 
 
 def completion_gate(spark, sf):
-    """Customers whose summary says that their run is finished."""
-    o = load(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("system")).agg(
-        F.count(F.lit(1)).alias("trials"), F.count(F.when(F.col("o_orderstatus") == "O", 1)).alias("errors")
-    )
-    summary = F.to_json(F.struct(F.lit("results-v1").alias("schema"), "system", "trials", "errors"))
-    parsed = F.from_json(summary, "schema string, system string, trials long, errors long")
-    done = (parsed["schema"] == "results-v1") & (parsed["system"] == F.col("system")) & (parsed["trials"] >= 5) & (parsed["errors"] == 0)
-    return o.select(F.col("system").alias("custkey"), F.coalesce(done, F.lit(False)).alias("complete"))
+    """Customers whose run is finished, by summaries of which some were cut off, miscounted, or never written."""
+    o = load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("trials"), F.count(F.when(F.col("o_orderstatus") == "O", 1)).alias("errors"))
+    o = o.withColumn("system", F.col("k").cast("string"))
+    due = o.select("system", F.lit("results-v1").alias("schema"), F.lit("p1").alias("protocol"), "trials")
+    counted = F.col("trials") + (F.col("k") % 5 == 0).cast("int")
+    text = F.to_json(F.struct(F.lit("results-v1").alias("schema"), F.lit("p1").alias("protocol"), "system", counted.alias("trials"), "errors"))
+    text = F.when(F.col("k") % 7 == 0, F.substring(text, 1, 20)).otherwise(text)
+    return evaluation.finished(due, o.where("k % 3 <> 0").select("system", text.alias("text"))).withColumnRenamed("system", "custkey")
 
 
 def _names(spark, sf):
@@ -140,7 +140,8 @@ QUERIES = {f.__name__: f for f in (
 ORACLE_SQL = {
     "report_gate": f"""WITH {_S} SELECT system, unnest(['schema', 'protocol']) AS reason FROM f WHERE k = '1' UNION ALL SELECT system, 'trials' FROM f WHERE k = '2'
       UNION ALL SELECT system, unnest(['errors', 'rows']) FROM f WHERE k = '3' AND e > 0 UNION ALL SELECT system, 'unknown' FROM f WHERE k = '5'""",
-    "completion_gate": "SELECT o_custkey::VARCHAR AS custkey, count(*) >= 5 AND count(*) FILTER (o_orderstatus = 'O') = 0 AS complete FROM orders GROUP BY 1",
+    "completion_gate": """SELECT o_custkey::VARCHAR AS custkey, o_custkey % 3 <> 0 AND o_custkey % 5 <> 0 AND o_custkey % 7 <> 0 AND count(*) FILTER (o_orderstatus = 'O') = 0 AS finished
+      FROM orders GROUP BY o_custkey""",
     "named_results": f"""{text.W} SELECT item_id, rank, name, n, score, delta FROM (SELECT item_id, name, n, w::DECIMAL(20,5)::DOUBLE AS score, delta,
         (row_number() OVER (PARTITION BY item_id ORDER BY w DESC, n DESC, name))::INT AS rank
         FROM best JOIN (SELECT doc_id, lang || '/' || source || '/' || lpad(doc_id::VARCHAR, 6, '0') AS name FROM documents) USING (doc_id)) WHERE rank <= 2""",

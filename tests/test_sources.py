@@ -197,8 +197,14 @@ def test_repeated_hash_rows_are_rejected(spark, tmp_path):
 
 def test_gates(spark):
     summary = lambda **k: json.dumps({"schema": "s", "protocol": "p", "system": "x", "trials": 3} | k)
-    done = lambda t: E.complete(t, 3, "s", "p", "x")
-    assert done(summary()) and done(summary(errors=0)) and not any(map(done, [None, "{", "[]", summary(trials=2), summary(errors=1), summary(schema="t"), summary(system="y")]))
+    due = spark.createDataFrame([("x", "s", "p", 3)], "system string, schema string, protocol string, trials long")
+
+    def done(text):
+        return E.finished(due, spark.createDataFrame([("x", text)], "system string, text string")).first().finished
+
+    assert done(summary()) and done(summary(errors=0))
+    assert not any(map(done, [None, "{", "[]", "3", summary(trials=2), summary(errors=1), summary(schema="t"), summary(system="y")]))
+    assert not E.finished(due, spark.createDataFrame([], "system string, text string")).first().finished
     rows = spark.createDataFrame([("x", "matched", 1)] * 3, "system string, status string, v int")
     good = spark.createDataFrame([("x", "s", "p", 3, 3, 0)], "system string, schema string, protocol string, expected long, trials long, errors long")
     E.require_report(good, rows, "s", "p", {"v"})
