@@ -2,8 +2,8 @@
 
 Documents become token ids and an end id; longer ones are cut into full pieces and a rest. Pieces are range-sorted once: a piece's
 rank is the number of shorter pieces and its place among those of its length (``spread_rank``; no task sees a whole length).
-Bands of lengths are packed from the longest to the shortest; the pieces of a band are at least BAND times as long
-as its longest, U. A superstep packs a band:
+Bands of lengths are packed from the longest to the shortest; the pieces of a band are more than BAND times as long
+as its longest, U, but for the last band, which holds all of 1 / SHORT of the capacity and less. A superstep packs a band:
 
 1. *Gaps.* A sequence with room g, if the band's shortest piece fits, offers floor(g / U) slots (one at least): all of size U but the
    last, which has the rest. Slots are range-sorted by size as pieces are by length; a slot's place is the number of smaller ones and its rank
@@ -16,7 +16,7 @@ as its longest, U. A superstep packs a band:
 4. *Update.* Pieces beyond the last slot are the band's longest; they open new sequences, floor(capacity / U) of them to each. What was
    placed is taken off the gaps, and the next superstep begins.
 
-There are log(capacity) / log(1 / BAND) supersteps, whatever the number of documents (24 for 4,096). All tables of pieces and
+There are about log(SHORT) / log(1 / BAND) supersteps, whatever the number of documents and the capacity (13 or 14 for 4,096). All tables of pieces and
 gaps stay distributed; the driver holds the bands.
 
 Cases: null text is the empty text (one piece with the end id alone). Rows that repeat an id are packed
@@ -41,6 +41,8 @@ from larkspan.scratch import materialize
 
 #: The shortest piece of a band over the longest, at least.
 BAND = 0.7
+#: Pieces of up to the capacity over SHORT are one band.
+SHORT = 64
 #: Pieces that one task writes; by the known counts, small bands and gaps are written by few tasks.
 PIECES_A_TASK = 200_000
 #: Rows of counts or slots that may be broadcast.
@@ -165,11 +167,11 @@ def token_pieces(
     return rows.mapInArrow(run, schema)
 
 
-def bands(lengths: list[int], ratio: float = BAND) -> list[tuple[int, int]]:
-    """(shortest, longest) of every band, longest first; together they hold all ``lengths``."""
+def bands(lengths: list[int], ratio: float = BAND, short: int = 0) -> list[tuple[int, int]]:
+    """(shortest, longest) of every band, longest first; together they hold all ``lengths``. Lengths up to ``short`` are one band."""
     out: list[tuple[int, int]] = []
     for n in sorted(set(lengths), reverse=True):
-        if out and n > ratio * out[-1][1]:
+        if out and (n > ratio * out[-1][1] or out[-1][1] <= short):
             out[-1] = (n, out[-1][1])
         else:
             out.append((n, n))
@@ -245,7 +247,7 @@ def best_fit_packing(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     lengths = lengths.select("length", "n", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("shorter"))
     lengths = materialize(lengths, "lengths")
     held = {r["length"]: (r["shorter"], r["shorter"] + r["n"]) for r in lengths.collect()}
-    plan = bands(list(held))
+    plan = bands(list(held), short=capacity // SHORT)
     keyed = kept.withColumn("key", F.struct("id", "piece", "ids_crc32"))
     ranked = spread_rank(keyed, "length", "key", "within", bounded_groups=True).drop("key")
     ranked = ranked.join(F.broadcast(lengths.select("length", "shorter")), "length").withColumn("rank", F.col("shorter") + F.col("within"))

@@ -205,6 +205,8 @@ def test_supersteps_pack_nearly_as_best_fit_does(spark, capacity):
 
 def test_bands_and_slots(spark):
     assert packing.bands([100, 71, 70, 50, 49, 1]) == [(71, 100), (50, 70), (49, 49), (1, 1)]
+    assert packing.bands([100, 71, 70, 50, 49, 1], short=50) == [(71, 100), (50, 70), (1, 49)]
+    assert len(packing.bands(list(range(1, 4097)), short=64)) == 13
     rng = random.Random(6)
     rooms = [(i, rng.randint(1, 40)) for i in range(300)]
     gaps = packing.numbered(spark.createDataFrame(rooms, "sequence_id long, gap long").repartition(3), 3)
