@@ -290,9 +290,8 @@ def best_fit_packing(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
             gaps = numbered(used.where(F.col("gap") >= least), all_tasks)
     if not placed:
         return kept.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
-    every = placed[0]
-    for more in placed[1:]:
-        every = every.unionByName(more)
+    # One scan over all of them, where a union would plan a scan for each.
+    every = pieces.sparkSession.read.schema(placed[0].schema).parquet(*[p._scratch for p in placed])
     own = Window.partitionBy("sequence_id").orderBy("step", "slot").rowsBetween(Window.unboundedPreceding, -1)  # capacity pieces at most
     return every.select(*columns, "sequence_id", F.coalesce(F.sum("length").over(own), F.lit(0)).cast("long").alias("offset"))
 
