@@ -26,8 +26,6 @@ A text of any length is cut whole. Columns other than id and text are not read,
 
 from __future__ import annotations
 
-import re
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -47,69 +45,114 @@ SHORT = 64
 PIECES_A_TASK = 200_000
 #: Rows of counts or slots that may be broadcast.
 BROADCAST = 50_000
-#: Words whose ids a worker remembers before it starts anew.
+#: Units whose ids a worker remembers before it starts anew.
 REMEMBERED = 1_000_000
+#: Bytes of text whose words are looked up together.
+TOGETHER = 4 << 20
 
 
 class WordIds:
     """Token ids of whole texts by a tokenizer whose pre-tokenizer drops white space.
 
-    No token reaches over white space, so words are encoded once each and remembered as packed ids. New plain
-    words (letters, perhaps a full stop or comma behind) are encoded together as one line: the pre-tokenizer
-    makes one unit of each, in lower case, whose last token carries the end-of-word mark.
+    No token reaches over white space. Words of printable ASCII and Latin-1 letters are cut, in lower case, into the units that the pre-tokenizer
+    makes of them: runs of letters, single digits, runs of other signs (NFC changes none of these characters). Other words are one unit: those that
+    may hold an added token, or an apostrophe that may begin a suffix. Units of many texts are dictionary-encoded together, and the ids of the
+    distinct ones remembered. New units that were cut go to the tokenizer's model as one line: each is one pre-token, whose last token
+    carries the end-of-word mark. New whole words go to the tokenizer one by one.
     """
 
-    PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
+    SPACE, LETTER, DIGIT, SIGN, ODD = range(5)
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import pyarrow as pa
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.bare = Tokenizer(self.tokenizer.model)
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), byte_level])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.mark = {"": b"", ".": self.encode(["."])[0], ",": self.encode([","])[0]}
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
-
-    def learn(self, words: set[str]) -> None:
-        known, plain, other = self.known, [], []
-        for w in words:
-            if m := self.PLAIN.fullmatch(w):
-                plain.append((w, m[1].lower(), m[2]))
-            else:
-                other.append(w)
-        cores = list({c for _, c, _ in plain})
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids, "<u4")
-        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        if len(ends) == len(cores):
-            packed = ids.tobytes()
-            of = {c: packed[begin:end] for c, begin, end in zip(cores, [0, *ends], ends, strict=False)}
-            for w, core, mark in plain:
-                known[w] = of[core] + self.mark[mark]
-        else:
-            other += [w for w, _, _ in plain]
-        known.update(zip(other, self.encode(other), strict=True))
-
-    def packed(self, texts: list[str], end_id: int) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, then the end id."""
-        words = []
-        for text in texts:
-            for c in "\n\t\r\x0b\x0c":
-                if c in text:
-                    text = text.replace(c, " ")
-            words.append(text.split(" "))
-        every = set().union(*words)
-        missing = {w for w in every if w not in self.known}
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-            missing = every
-        self.learn(missing)
-        known, end = self.known.__getitem__, struct.pack("<I", end_id)
-        return [b"".join([*map(known, x), end]) for x in words]
+        self.kinds = np.full(256, self.ODD, np.uint8)
+        for i in range(33, 127):
+            self.kinds[i] = self.LETTER if chr(i).isalpha() else self.DIGIT if chr(i).isdigit() else self.SIGN
+        self.kinds[[9, 10, 11, 12, 13, 32]] = self.SPACE
+        self.lower = np.array([ord(chr(i).lower()) if i < 128 else i for i in range(256)], np.uint8)
+        self.none = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        self.known, self.ids, self.sizes = self.none  # units, their ids one after the other, the number of each one's
+
+    def units(self, texts) -> tuple:
+        """The units of all texts (an Arrow array of strings, no nulls), whether each is a whole word, and where each text's units end."""
+        import pyarrow as pa
+
+        bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        text = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        kind, low = self.kinds[text], self.lower[text]
+        lead = np.flatnonzero(text[:-1] == 0xC3)  # of U+00C0 to U+00FF
+        second = text[lead + 1]
+        lead, second = lead[(second != 0x97) & (second != 0xB7)], second[(second != 0x97) & (second != 0xB7)]
+        kind[lead] = kind[lead + 1] = self.LETTER
+        low[lead + 1] = second | 0x20
+        low[lead[second == 0x9F] + 1] = 0x9F  # sharp s
+        first = np.zeros(len(text) + 1, bool)  # of a text
+        first[bounds] = True
+        word = kind != self.SPACE
+        begins = word & first[:-1]
+        begins[1:] |= word[1:] & ~word[:-1]
+        starts = begins | (kind == self.DIGIT)
+        starts[1:] |= word[1:] & (kind[1:] != kind[:-1])
+        sign = np.flatnonzero((text[:-1] == 0x27) & np.isin(low[1:], np.frombuffer(b"strvmld", np.uint8)) | (text[:-1] == 0x3C) & (text[1:] == 0x7C))
+        odd = np.concatenate([np.flatnonzero(kind == self.ODD), sign])
+        at = np.flatnonzero(begins)
+        is_odd, whole = np.zeros(len(at), bool), np.zeros(len(text), bool)
+        is_odd[np.searchsorted(at, odd, "right") - 1] = True
+        if len(odd):
+            whole[at[0] :] = np.repeat(is_odd, np.diff(at, append=len(text)))
+        low[whole] = text[whole]
+        starts &= ~whole | begins
+        places = np.flatnonzero(starts)
+        offsets = np.append(np.flatnonzero(starts[word]), np.count_nonzero(word)).astype(np.int32)
+        found = pa.StringArray.from_buffers(len(places), pa.py_buffer(offsets), pa.py_buffer(low[word]))
+        return found, whole[places], np.searchsorted(places, bounds[1:])
+
+    def learn(self, cut, words: list[str]) -> None:
+        """Remember the ids of units that were cut (an Arrow array) and of whole words."""
+        import pyarrow as pa
+
+        ids = np.array(self.bare.encode_batch_fast([" ".join(cut.to_numpy(zero_copy_only=False))], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(cut):
+            words, cut, ids, ends = cut.to_pylist() + words, cut[:0], ids[:0], ends[:0]
+        others = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        self.known = pa.concat_arrays([self.known, cut, pa.array(words, pa.string())])
+        self.ids = np.concatenate([self.ids, ids, *[np.array(x, "<u4") for x in others]])
+        self.sizes = np.concatenate([self.sizes, np.diff(ends, prepend=0), np.array([len(x) for x in others], np.int64)])
+
+    def packed(self, texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts as little-endian unsigned 32-bit, each text's followed by the end id, and where each text's end."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        found, whole, last = self.units(texts)
+        coded = found.dictionary_encode()
+        units, index = coded.dictionary, coded.indices.to_numpy()
+        as_word = np.zeros(len(units), bool)
+        as_word[index[whole]] = True
+        new = pc.index_in(units, value_set=self.known).is_null().to_numpy(zero_copy_only=False)
+        if len(self.known) + np.count_nonzero(new) > REMEMBERED:
+            self.known, self.ids, self.sizes = self.none
+            new[:] = True
+        if new.any():
+            self.learn(units.filter(pa.array(new & ~as_word)), units.filter(pa.array(new & as_word)).to_pylist())
+        number = pc.index_in(units, value_set=self.known).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes, ids = np.append(self.sizes, 1), np.append(self.ids, np.uint32(end_id)).astype("<u4")
+        at = np.insert(number[index], last, len(self.known))  # the end id behind a text's last unit
+        firsts, taken = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        after = np.cumsum(taken)
+        places = np.arange(taken.sum()) + np.repeat(firsts - after + taken, taken)
+        return ids[places], after[last + np.arange(len(last))]
 
 
 _encoders: dict[str, WordIds] = {}
@@ -142,6 +185,7 @@ def token_pieces(
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import pyarrow as pa
+        import pyarrow.compute as pc
         import public_tokenizers
 
         own = encoder(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
@@ -150,14 +194,18 @@ def token_pieces(
         for batch in batches:
             rows: list[tuple] = []
             take = []
-            texts = batch.column(1).to_pylist()
-            step = 64  # texts looked at together
-            whole = (p for low in range(0, len(texts), step) for p in own.packed(texts[low : low + step], end_id))
-            for at, packed in enumerate(whole):
-                for n, begin in enumerate(range(0, len(packed), width)):
-                    ids = packed[begin : begin + width]
-                    rows.append((n, begin // 4, len(ids) // 4, zlib.crc32(ids), *[ids] * with_ids))
-                    take.append(at)
+            texts = batch.column(1)
+            sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+            share = (np.cumsum(sizes) - sizes) // TOGETHER  # texts looked at together begin within so many bytes
+            cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(texts)] if len(texts) else []
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                ids, ends = own.packed(texts.slice(low, high - low), end_id)
+                packed, ends = memoryview(ids.tobytes()), (4 * ends).tolist()
+                for at, (first, last) in enumerate(zip([0, *ends], ends, strict=False), low):
+                    for n, begin in enumerate(range(first, last, width)):
+                        part = packed[begin : min(begin + width, last)]
+                        rows.append((n, (begin - first) // 4, len(part) // 4, zlib.crc32(part), *[bytes(part)] * with_ids))
+                        take.append(at)
             columns = list(zip(*rows, strict=True)) if rows else [[]] * (len(names) - 1)
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]

@@ -171,6 +171,22 @@ def test_packing_round_trip(docs, rows):
     assert max(ends.values()) <= 4096
 
 
+def test_units_of_words_are_looked_up_once():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(3)
+    own, tokenizer = packing.WordIds(path), Tokenizer.from_file(path)
+    own.packed(pa.array(["Foo, foo. FOO! (foo)\nfoo42", "", "  foo"]), 1)
+    assert sorted(own.known.to_pylist()) == sorted(["foo", ",", ".", "!", "(", ")", "4", "2"])
+    signs = [*"abeEZ09 \n\t\r\x0b\x0c.,'\"!<|>&#\x00\x1c\x7f\x85\xa0ÉÿßÀ×÷éµªİΣςſ½²日😀\u0301\u2003", "'s", "'re", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "</w>"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    ids, ends = own.packed(pa.array(["left out", *texts]).slice(1), 1)
+    cut = [ids[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)]
+    assert cut == [e.ids + [1] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_sweep_gives_each_piece_the_next_free_slot(spark):
     rng = random.Random(8)
     for _ in range(6):
