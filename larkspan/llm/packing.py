@@ -9,7 +9,7 @@ as its longest, U, but for the last band, which holds all of 1 / SHORT of the ca
    last, which has the rest. Slots are range-sorted by size as pieces are by length; a slot's place is the number of smaller ones and its rank
    among its equals, from the counts per gap and the sequence's rank among those of the same gap.
 2. *Successor sweep.* The successor of a piece is the first slot in that order which holds it (``sweep``). The sweep runs over the
-   counts per length and gap, three rows for every size up to the capacity.
+   counts per length and gap, three rows for every size up to the capacity; its result goes through the driver as a broadcast does.
 3. *Conflicts* are resolved by rank: pieces that want the same slot, or one that is taken, move on to the next ones, in the order of their
    ranks. The place of piece j is j + max(successor(i) - i) over all i up to j. Pieces and slots meet on that place, an equi-join whose
    keys occur once on each side.
@@ -17,7 +17,7 @@ as its longest, U, but for the last band, which holds all of 1 / SHORT of the ca
    placed is taken off the gaps, and the next superstep begins.
 
 There are about log(SHORT) / log(1 / BAND) supersteps, whatever the number of documents and the capacity (13 or 14 for 4,096). All tables of pieces and
-gaps stay distributed; the driver holds the bands.
+gaps stay distributed; the driver holds the bands and a superstep's sweep.
 
 Cases: null text is the empty text (one piece with the end id alone). Rows that repeat an id are packed
 each; null ids likewise. Pieces of equal length are ordered by a hash of id, piece and ids. An empty table gives an empty result.
@@ -30,7 +30,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions.columns import small
@@ -263,27 +263,41 @@ def sweep(slots: DataFrame, lengths: DataFrame) -> DataFrame:
     return found.withColumn("shift", F.max("lead").over(order)).select("size", "gap", "last", "before", "shift")
 
 
+def slots_of(spark: SparkSession, swept) -> tuple[DataFrame, DataFrame]:
+    """The Arrow table of a ``sweep`` as (gap, inner, end), the places of a gap's first inner and first last slot, and (size, shift)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    asked = pc.less(swept["gap"], 0)
+    shifts, offered = swept.filter(asked).select(["size", "shift"]), swept.filter(pc.invert(asked))
+    inner, end = (offered.filter(m).select(["gap", "before"]) for m in (pc.invert(offered["last"]), offered["last"]))
+    firsts = end.rename_columns(["gap", "end"]).join(inner.rename_columns(["gap", "inner"]), "gap", join_type="left outer")
+    schema = pa.schema([("gap", pa.int64()), ("inner", pa.int64()), ("end", pa.int64())])
+    return spark.createDataFrame(firsts.select(schema.names).cast(schema), "gap long, inner long, end long"), spark.createDataFrame(shifts, "size long, shift long")
+
+
 def offers(gaps: DataFrame, shortest: int, longest: int, lengths: DataFrame, tasks: int = 1, capacity: int = 4096) -> tuple[DataFrame, DataFrame]:
     """``numbered`` gaps and the band's (size, pieces) to (slots, shifts): slots (sequence_id, slot, size, place), shifts (size, shift)."""
     open_gaps = gaps.where(F.col("gap") >= shortest)
     cells = open_gaps.groupBy("gap", "part").agg(F.count(F.lit(1)).alias("n")).coalesce(tasks)
-    earlier = Window.partitionBy("gap").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
-    bases = cells.select("gap", "part", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")).coalesce(tasks)
     k = F.greatest(F.floor(F.col("gap") / longest), F.lit(1).cast("long"))
     per_gap = cells.groupBy("gap").agg(F.sum("n").alias("n")).coalesce(1).withColumn("k", k).withColumn("rest", F.col("gap") - (F.col("k") - 1) * longest)
     inner = per_gap.where("k > 1").select(F.lit(longest).cast("long").alias("size"), "gap", F.lit(False).alias("last"), (F.col("n") * (F.col("k") - 1)).alias("slots"))
     ends = per_gap.select(F.col("rest").alias("size"), "gap", F.lit(True).alias("last"), F.col("n").alias("slots"))
-    swept = materialize(sweep(inner.unionByName(ends), lengths), "swept")
-    firsts = swept.where("gap >= 0").groupBy("gap").agg(F.max(F.when(~F.col("last"), F.col("before"))).alias("inner"), F.max(F.when(F.col("last"), F.col("before"))).alias("end"))
-    bases = bases.select("gap", "part", "base")
-    if tasks * capacity <= BROADCAST:
-        bases = F.broadcast(bases)
-    own = open_gaps.join(bases, ["gap", "part"]).join(F.broadcast(firsts.coalesce(1)), "gap").withColumn("k", k).withColumn("nth", F.col("nth") + F.col("base"))
+    swept = sweep(inner.unionByName(ends), lengths).toArrow()  # three rows for every size up to the capacity
+    local = slots_of(gaps.sparkSession, swept)
+    own = open_gaps.join(F.broadcast(local[0]), "gap").withColumn("k", k)
+    if tasks > 1:  # else nth counts all gaps
+        earlier = Window.partitionBy("gap").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+        bases = cells.select("gap", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")).coalesce(tasks)
+        if tasks * capacity <= BROADCAST:
+            bases = F.broadcast(bases)
+        own = own.join(bases, ["gap", "part"]).withColumn("nth", F.col("nth") + F.col("base"))
     own = own.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     ending = F.col("slot") == F.col("k") - 1
     place = F.when(ending, F.col("end") + F.col("nth")).otherwise(F.col("inner") + F.col("nth") * (F.col("k") - 1) + F.col("slot"))
     size = F.when(ending, F.col("gap") - F.col("slot") * longest).otherwise(F.lit(longest))
-    return own.select("sequence_id", "slot", size.cast("long").alias("size"), place.alias("place")), swept.where("gap < 0").select("size", "shift")
+    return own.select("sequence_id", "slot", size.cast("long").alias("size"), place.alias("place")), local[1]
 
 
 def best_fit_packing(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
@@ -332,9 +346,10 @@ def best_fit_packing(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
         found = materialize(found.coalesce(tasks), "placed")
         placed.append(found)
         if step < len(plan) - 1:
-            used = found.groupBy("sequence_id").agg((F.when(F.max("opens"), capacity).otherwise(0) - F.sum("length")).alias("gap"))
+            used = found.select("sequence_id", (-F.col("length")).alias("gap"), "opens")
             if gaps is not None:
-                used = gaps.select("sequence_id", "gap").unionByName(used).groupBy("sequence_id").agg(F.sum("gap").alias("gap"))
+                used = used.unionByName(gaps.select("sequence_id", "gap", F.lit(False).alias("opens")))
+            used = used.groupBy("sequence_id").agg((F.sum("gap") + F.when(F.max("opens"), capacity).otherwise(0)).alias("gap"))
             gaps = numbered(used.where(F.col("gap") >= least), all_tasks)
     if not placed:
         return kept.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))

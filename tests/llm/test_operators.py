@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from larkspan import scratch
 from larkspan.llm import (
     bestfit, common, components, exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality, sharding, token_counts, toxicity,
 )
@@ -187,6 +188,18 @@ def test_units_of_words_are_looked_up_once():
     assert cut == [e.ids + [1] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_a_superstep_writes_no_sweep_and_a_full_driver_is_tidied(spark, monkeypatch):
+    gaps = packing.numbered(spark.createDataFrame([(0, 9), (1, 9), (2, 4)], "sequence_id long, gap long"), 1)
+    made = len(scratch._made)
+    slots, shifts = packing.offers(gaps, 3, 4, spark.createDataFrame([(3, 1), (4, 2)], "size long, pieces long"))
+    assert len(scratch._made) == made and sorted(slots.select("size", "place").collect()) == [(4, 0), (4, 1), (4, 2), (5, 3), (5, 4)]
+    assert dict(shifts.collect()) == {3: 0, 4: 0}
+    monkeypatch.setattr(scratch, "FULL", 0)
+    assert scratch.tidy(spark)
+    monkeypatch.setattr(scratch, "FULL", 1)
+    assert not scratch.tidy(spark)
+
+
 def test_sweep_gives_each_piece_the_next_free_slot(spark):
     rng = random.Random(8)
     for _ in range(6):
